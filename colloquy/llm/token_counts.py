@@ -58,33 +58,35 @@ class TokenCounter:
         found = text.rfind(" ", max(lowest, at - self.overlap), at)
         return found + 1 if found >= 0 else at
 
-    def pieces(self, text: str) -> Iterator[np.ndarray]:
+    def pieces(self, text: str) -> list[np.ndarray]:
         """The ids of the whole text, in arrays that follow one another."""
         wide = len(SPACE.encode())
         size = lambda a, b: len(text[a:b].encode()) + (wide - 1) * text.count(" ", a, b)
-        start, stop, at = 0, min(len(text), self.chunk), wide
+        done, start, stop, at = [], 0, min(len(text), self.chunk), wide
         ids, places = self.encoded(text, start, stop, at)
         while stop < len(text):
             overlap, following = self.overlap, min(len(text), stop + self.chunk)
             while True:
                 after = self.begin(text, stop - overlap, start) if stop - overlap > start else start
                 then = at + size(start, after)
-                if after <= start:  # widened to the whole chunk: encode both as one
-                    ids, places = self.encoded(text, start, following, at)
-                    break
                 new_ids, new_places = self.encoded(text, after, following, then)
+                if after == 0:  # nothing has been spliced yet, and the new chunk holds the old one
+                    ids, places = new_ids, new_places
+                    break
                 common, i, j = np.intersect1d(places, new_places, assume_unique=True, return_indices=True)
-                # The first token of a chunk that does not follow a space holds a space that is not in the text.
+                # The first token may hold the space that the library put before the chunk.
                 same = np.flatnonzero((ids[i] == new_ids[j]) & (common >= then))
                 if len(same):
                     pick = same[len(same) // 2]
-                    yield ids[: i[pick]]
+                    done.append(ids[: i[pick]])
                     ids, places, start, at = new_ids[j[pick] :], new_places[j[pick] :], after, then
                     break
+                if after == start:  # no place of agreement at all: the text can't be cut here
+                    return [np.array(self.sp.encode(text), np.int64)]
                 overlap *= 2
                 self.widened += 1
             stop = following
-        yield ids
+        return [*done, ids]
 
 
 def counter(model: str, chunk: int, overlap: int) -> TokenCounter:
