@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import read_table
+from colloquy.llm.pieces import encode_pieces
 from colloquy.llm.sharding import balanced_shards
+from colloquy.llm.simple8b import read_tokens, token_dataset
 from colloquy.llm.token_counts import count_tokens
 
 
@@ -17,5 +19,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_token_counts)}
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(spark, token_dataset(read_table(spark, sf_dir, "documents")), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_token_counts, op6_sentence_pieces, op8_simple8b)}
 ORACLES: dict[str, str] = {}
