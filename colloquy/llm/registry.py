@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm.common import read_table
+from colloquy.llm.common import held_out, read_table
+from colloquy.llm.langid import fit_languages, label_languages
 from colloquy.llm.pieces import encode_pieces
 from colloquy.llm.sharding import balanced_shards
 from colloquy.llm.simple8b import read_tokens, token_dataset
 from colloquy.llm.token_counts import count_tokens
+from colloquy.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def learnable(table: DataFrame) -> DataFrame:
+    return table.where(~held_out("doc_id"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = label_languages(docs, fit_languages(learnable(docs)))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +39,11 @@ def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, token_dataset(read_table(spark, sf_dir, "documents")), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_token_counts, op6_sentence_pieces, op8_simple8b)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, learnable(read_table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_sharding, op5_token_counts, op6_sentence_pieces, op8_simple8b, op10_toxicity)}
 ORACLES: dict[str, str] = {}
