@@ -8,6 +8,7 @@ from colloquy.llm.common import held_out, read_table
 from colloquy.llm.langid import fit_languages, label_languages
 from colloquy.llm.pieces import encode_pieces
 from colloquy.llm.sharding import balanced_shards
+from colloquy.llm.simhash import near_duplicates
 from colloquy.llm.simple8b import read_tokens, token_dataset
 from colloquy.llm.token_counts import count_tokens
 from colloquy.llm.toxicity import fit_toxicity, score_toxicity
@@ -39,11 +40,15 @@ def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, token_dataset(read_table(spark, sf_dir, "documents")), keep_ids=False)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, learnable(read_table(spark, sf_dir, "labels")))
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_sharding, op5_token_counts, op6_sentence_pieces, op8_simple8b, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_sharding, op5_token_counts, op6_sentence_pieces, op8_simple8b, op9_simhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}
