@@ -362,6 +362,21 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least the score ``least``."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                langs, scores = own.predict([t or "" for t in batch.column(place).to_pylist()]) if own.langs else ([UNKNOWN] * batch.num_rows, [])
+                yield batch.filter(pa.array([lang != UNKNOWN and scores[k] >= least for k, lang in enumerate(langs)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def word_spans(model: LanguageModel, texts: list[str]) -> list[list[dict]]:
     found: list[list[dict]] = [[] for _ in texts]
     if model.langs:

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -188,7 +189,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
                 id_digests.append(hashlib.sha256(joined).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(list(map(int, ids)))
+                    all_ids.append(np.array(ids, "S5").astype(np.int32) if ids else np.zeros(0, np.int32))
                     texts.append(decoded)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
