@@ -168,11 +168,11 @@ def codec(model: str) -> PieceCodec:
     return _codecs[model]
 
 
-def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded), one for each row of ``docs``.
 
-    ``decoded`` is made from the ids alone. ``keep_ids=False`` leaves the last two columns out
-    where only the digests are wanted, so that they are never sent back from the workers. Null
+    ``decoded`` is made from the ids alone. ``keep_ids=False`` and ``keep_text=False`` leave the last
+    two columns out where they aren't wanted, so that they are never sent back from the workers. Null
     text counts as empty: no ids, and an empty text back. A map-only job: repeated rows and null
     ids need no care, other columns are ignored, and a long text needs memory in proportion to itself.
     """
@@ -190,13 +190,17 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
                     all_ids.append(np.array(ids, "S5").astype(np.int32) if ids else np.zeros(0, np.int32))
+                if keep_text:
                     texts.append(decoded)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_text:
+                columns.append(pa.array(texts, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

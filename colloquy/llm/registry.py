@@ -65,7 +65,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(read_table(spark, sf_dir, "documents"), keep_ids=False)
+    return encode_pieces(read_table(spark, sf_dir, "documents"), keep_ids=False, keep_text=False)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
