@@ -1,0 +1,72 @@
+"""Command line: parse an export, extract from a parsed document."""
+
+from __future__ import annotations
+
+import argparse
+import os
+
+from pyspark.sql import SparkSession
+
+from colloquy.operators.messages import customers
+from colloquy.plans.extract import HttpProvider, Provider, extract, require_key, write_insights
+from colloquy.plans.profiles import PROFILES
+from colloquy.sources.exports import is_zip, read_export
+from colloquy.sources.parsed import parsed_path, read_parsed, write_parsed
+from colloquy.sources.shared import shared_dir
+
+KEY = "COLLOQUY_API_KEY"
+
+
+class Parser(argparse.ArgumentParser):
+    def error(self, message: str):
+        self.print_usage()
+        raise SystemExit(1)
+
+
+def parse(spark: SparkSession, path: str) -> str:
+    found = customers(read_export(spark, path)).cache()
+    out = parsed_path(path)
+    n, total = write_parsed(found, out, nested=is_zip(path))
+    print(f"{total} messages of {n} customer(s) -> {out}" if is_zip(path) else f"{total} messages -> {out}")
+    if is_zip(path):
+        for row in found.orderBy("fname").toLocalIterator():
+            print(f"  {row['customer_name']}: {len(row['messages'])} messages")
+    else:
+        for row in found.limit(1).collect():
+            if row["messages"]:
+                print("First message:", row["messages"][0].asDict())
+    found.unpersist()
+    return out
+
+
+def run_extraction(spark: SparkSession, path: str, profile: str, provider: Provider, out: str = "insights.json", cache: str | None = None) -> str:
+    result = extract(read_parsed(spark, path), PROFILES[profile], provider, cache or f"{shared_dir(spark)}/answers", path)
+    write_insights(result, out)
+    for row in result.errors.toLocalIterator():
+        print(f"chunk {row['chunk_no']} of {row['fname']}: {row['error']}: {row['answer']}")
+    print(f"Saved to {out}")
+    return out
+
+
+def main(arguments: list[str] | None = None) -> None:
+    parser = Parser(prog="colloquy")
+    commands = parser.add_subparsers(dest="command", required=True)
+    commands.add_parser("parse").add_argument("path")
+    asked = commands.add_parser("extract")
+    asked.add_argument("path")
+    asked.add_argument("--profile", choices=sorted(PROFILES), default="items")
+    asked.add_argument("--url", required=True)
+    asked.add_argument("--out", default="insights.json")
+    asked.add_argument("--cache")
+    given = parser.parse_args(arguments)
+    if given.command == "extract":
+        require_key(KEY, dict(os.environ))
+    spark = SparkSession.builder.appName("colloquy").getOrCreate()
+    if given.command == "parse":
+        parse(spark, given.path)
+    else:
+        run_extraction(spark, given.path, given.profile, HttpProvider(given.url, KEY), given.out, given.cache)
+
+
+if __name__ == "__main__":
+    main()

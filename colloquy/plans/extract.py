@@ -1,0 +1,193 @@
+"""Calling a model for every chunk, once.
+
+A model is slow, costs money and answers differently each time, so no Spark retry or second
+use of a plan may call it again. Chunks are keyed by what is asked; answers are appended to a
+table in a shared folder and read back before anything is done with them. A later run asks
+only for what that table lacks.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from typing import Protocol
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.operators import responses
+from colloquy.operators.chunks import CHUNK_SIZE, prompts
+from colloquy.plans.profiles import Profile
+
+CACHE = "chunk_key string, raw string, status string, attempts int"
+
+
+class ServerError(Exception):
+    """The model's service failed; asking again may help."""
+
+
+class Provider(Protocol):
+    def connect(self) -> Callable[[Profile, str], str]:
+        """A function from (profile, prompt) to the answer's text; made once for each partition."""
+
+
+@dataclass
+class ReplayProvider:
+    """Answers from a list of (substring of the prompt, outcomes in turn); ``ServerError`` as an outcome is raised."""
+
+    outcomes: list[tuple[str, list[str]]] = field(default_factory=list)
+    default: str = '{"items": []}'
+
+    def connect(self) -> Callable[[Profile, str], str]:
+        asked: dict[str, int] = {}
+
+        def call(profile: Profile, prompt: str) -> str:
+            for part, outcomes in self.outcomes:
+                if part in prompt:
+                    n = asked[part] = asked.get(part, 0) + 1
+                    found = outcomes[min(n, len(outcomes)) - 1]
+                    if found == "ServerError":
+                        raise ServerError(part)
+                    return found
+            return self.default
+
+        return call
+
+
+@dataclass
+class HttpProvider:
+    """A JSON endpoint: posts model, system text, prompt and limits; reads ``text`` from the answer.
+
+    The key is read from the environment where the call is made and is never part of a plan.
+    There is no network where this is tested: only its request is.
+    """
+
+    url: str
+    key_variable: str
+    timeout: float = 120.0
+
+    def request(self, profile: Profile, prompt: str, key: str) -> urllib.request.Request:
+        body = {"model": profile.model, "system": profile.system, "prompt": prompt, "max_tokens": profile.max_tokens, "json_only": profile.json_only}
+        return urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+
+    def connect(self) -> Callable[[Profile, str], str]:
+        import os
+
+        key = os.environ[self.key_variable]
+
+        def call(profile: Profile, prompt: str) -> str:
+            try:
+                with urllib.request.urlopen(self.request(profile, prompt, key), timeout=self.timeout) as answer:
+                    return json.load(answer)["text"]
+            except urllib.error.HTTPError as e:
+                if e.code >= 500:
+                    raise ServerError(str(e)) from e
+                raise
+
+        return call
+
+
+def require_key(variable: str, environment: dict[str, str]) -> None:
+    """Ends the program with code 1 if the key isn't set."""
+    if variable not in environment:
+        print(f"Set {variable} first.")
+        raise SystemExit(1)
+
+
+def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str, int]:
+    """(answer, status, attempts). Server errors are tried again after 2, 4, 8... seconds, as often as the profile says."""
+    for attempt in range(1, profile.retries + 1):
+        try:
+            return call(profile, prompt), "answered", attempt
+        except ServerError:
+            if attempt < profile.retries:
+                sleep(2**attempt)
+    return None, "gave_up", profile.retries
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], CACHE)
+
+
+def answered(chunks: DataFrame, profile: Profile, provider: Provider, cache_path: str, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Chunks with raw answer, status and attempts; equal prompts are asked once.
+
+    At most ``concurrency`` calls run at a time. What was given up is asked again by the next run.
+    """
+    spark = chunks.sparkSession
+    keyed = chunks.withColumn("chunk_key", F.sha2(F.concat_ws("\x00", F.lit(profile.name), F.lit(profile.model), F.col("prompt")), 256))
+    known = cached(spark, cache_path).where("status = 'answered'").select("chunk_key")
+    todo = keyed.select("chunk_key", "prompt").dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = None
+        for frame in frames:
+            call = call or provider.connect()
+            found = [(key, *ask(call, profile, prompt, sleep)) for key, prompt in zip(frame["chunk_key"], frame["prompt"], strict=True)]
+            yield pd.DataFrame(found, columns=["chunk_key", "raw", "status", "attempts"])
+
+    todo.repartition(concurrency).mapInPandas(run, CACHE).write.mode("append").parquet(cache_path)
+    latest = cached(spark, cache_path).groupBy("chunk_key").agg(F.max_by(F.struct("raw", "status", "attempts"), F.col("status") == "answered").alias("a"))
+    return keyed.join(latest, "chunk_key", "left").select(*keyed.columns, "a.raw", "a.status", "a.attempts")
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z"
+
+
+@dataclass
+class Extraction:
+    """Tables of one run."""
+
+    entries: DataFrame
+    errors: DataFrame
+    total_messages: int
+    profile: Profile
+    source: str
+    generated_at: str
+
+    def document(self) -> Iterator[tuple[str, Iterator[str]]]:
+        """(list, its entries as JSON texts in order), for a sink that writes one document."""
+        ordered = responses.merged(self.entries, ["src", "fname", "chunk_no"])
+        for name in self.profile.keys:
+            rows = ordered.where(F.col("list") == name).orderBy("position").select(F.to_json("entry").alias("e"))
+            yield name, (r["e"] for r in rows.toLocalIterator())
+
+    def meta(self) -> dict:
+        return {"source_file": self.source, "total_messages_analyzed": self.total_messages, "generated_at": self.generated_at, "model": self.profile.model}
+
+
+def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_path: str, source: str, size: int = CHUNK_SIZE, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> Extraction:
+    """Chunk, ask, read and merge. Messages whose chunk failed still count as analysed."""
+    keys = ["src", "fname", "chunk_no"]
+    chunks = prompts(messages, profile, size=size)
+    read = responses.answers(answered(chunks, profile, provider, cache_path, concurrency, sleep))
+    found = responses.entries(read, profile, keys)
+    failed = read.withColumn("error", F.when(F.col("status") != "answered", F.col("status")).otherwise(F.col("error")))
+    return Extraction(found, responses.errors(failed, keys), messages.count(), profile, source, now())
+
+
+def write_insights(result: Extraction, path: str = "insights.json") -> None:
+    """One indented JSON document with the lists in order and ``_meta`` last, streamed to a local file."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        for name, found in result.document():
+            out.write(f"\n  {json.dumps(name)}: [")
+            empty = True
+            for text in found:
+                entry = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+                out.write(("" if empty else ",") + "\n" + "\n".join("    " + line for line in entry.split("\n")))
+                empty = False
+            out.write("]," if empty else "\n  ],")
+        text = json.dumps(result.meta(), indent=2, ensure_ascii=False)
+        out.write('\n  "_meta": ' + text.replace("\n", "\n  ") + "\n}")
