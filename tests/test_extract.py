@@ -1,0 +1,187 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy import cli
+from colloquy.operators import chunks as C
+from colloquy.operators import responses as R
+from colloquy.plans.extract import HttpProvider, ReplayProvider, ServerError, answered, ask, extract, require_key, write_insights
+from colloquy.plans.profiles import INSIGHTS, ITEMS
+from colloquy.sources.parsed import parsed_path, read_parsed, write_parsed, write_parsed_lines
+
+
+def messages(spark, *sizes):
+    rows = [("s", f"c{c}", n + 1, "01/01/24", "10:00", "A", f"c{c} m{n}") for c, size in enumerate(sizes) for n in range(size)]
+    return spark.createDataFrame(rows, "src string, fname string, g long, date string, time string, sender string, message string")
+
+
+def test_chunks_have_80_messages_and_never_mix_customers(spark):
+    found = C.prompts(messages(spark, 170, 80, 1), ITEMS).orderBy("fname", "chunk_no").collect()
+    assert [(r.fname, r.chunk_no, r.n_messages) for r in found] == [("c0", 0, 80), ("c0", 1, 80), ("c0", 2, 10), ("c1", 0, 80), ("c2", 0, 1)]
+    assert "[01/01/24 10:00] A: c0 m80\n[01/01/24 10:00] A: c0 m81" in found[1].prompt
+    assert "c0 m79" not in found[1].prompt
+
+
+def test_numbering_in_blocks_is_numbering(spark):
+    df = messages(spark, 25, 7).where("g % 3 <> 0")
+    one = {(r.fname, r.g): r.pos for r in C.numbered(df, ["fname"], "g", 4).collect()}
+    for name in ("c0", "c1"):
+        places = sorted(g for f, g in one if f == name)
+        assert [one[name, g] for g in places] == list(range(len(places)))
+
+
+def test_missing_fields_raise(spark):
+    df = messages(spark, 1).withColumn("sender", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="no date, time, sender or text"):
+        C.prompts(df, ITEMS).collect()
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("```json\n{}\n```", "{}"),
+        ("  ```JSON {}```  ", "{}"),
+        ("```{}```", "{}"),
+        ("x ```{}```", "x ```{}```"),
+        ("{}", "{}"),
+        ("```", ""),
+        (" `````json{}", "{}"),
+    ],
+)
+def test_fences(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "r string").select(R.unfenced(F.col("r"))).first()[0] == want
+
+
+ANSWERS = [
+    ('{"items": [{"item_name": "rice", "quantity": 5, "extra": 1}], "other": [1]}', None, 1),
+    ('```json\n{"items": [{"item_name": "a", "quantity": "7.5"}, {"quantity": null}]}\n```', None, 2),
+    ("I can't", "not_json", 0),
+    ('{"items": [', "not_json", 0),
+    ("[1]", "not_object", 0),
+    ("3", "not_object", 0),
+    ('{"items": null}', None, 0),
+    ('{"items": "text"}', None, 0),
+    ("{}", None, 0),
+    (None, "not_json", 0),
+    ("", "not_json", 0),
+]
+
+
+def test_answers_and_entries(spark):
+    df = spark.createDataFrame([(i, raw) for i, (raw, _, _) in enumerate(ANSWERS)], "chunk_no int, raw string")
+    read = R.answers(df)
+    assert {r.chunk_no: r.error for r in read.select("chunk_no", "error").collect()} == {i: e for i, (_, e, _) in enumerate(ANSWERS)}
+    found = R.entries(read, ITEMS, ["chunk_no"])
+    counts = {r.chunk_no: r["count"] for r in found.groupBy("chunk_no").count().collect()}
+    assert counts == {i: n for i, (_, _, n) in enumerate(ANSWERS) if n}
+    typed = R.typed(found, ITEMS, "items", ["chunk_no"]).orderBy("chunk_no", "pos").collect()
+    assert [(r.item_name, r.quantity) for r in typed] == [("rice", 5.0), ("a", 7.5), (None, None)]
+
+
+def test_server_errors_only_are_tried_again():
+    waits, calls = [], []
+
+    def failing(profile, prompt):
+        calls.append(prompt)
+        raise ServerError
+
+    assert ask(failing, ITEMS, "p", waits.append) == (None, "gave_up", 4)
+    assert waits == [2, 4, 8]
+    assert ask(failing, INSIGHTS, "p", waits.append) == (None, "gave_up", 1) and len(waits) == 3
+    outcomes = iter([ServerError(), "x"])
+
+    def second(profile, prompt):
+        found = next(outcomes)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    assert ask(second, ITEMS, "p", waits.append) == ("x", "answered", 2)
+    with pytest.raises(ValueError):
+        ask(lambda *_: (_ for _ in ()).throw(ValueError()), ITEMS, "p", waits.append)
+
+
+def item(name):
+    return json.dumps({"items": [{"item_name": name, "quantity": 5.0}]})
+
+
+nap = abs  # a stand-in for sleeping that workers can import
+
+
+def test_extraction_end_to_end(spark, tmp_path):
+    provider = ReplayProvider([("c0 m80", [item("second")]), ("c0 m0", [item("first")]), ("c1 m0", ["ServerError", item("third")]), ("c2 m0", ["no"]), ("c3 m0", ["ServerError"])])
+    df, cache = messages(spark, 90, 1, 1, 1), str(tmp_path / "cache")
+    result = extract(df, ITEMS, provider, cache, "in.json", concurrency=2, sleep=nap)
+    out = tmp_path / "insights.json"
+    write_insights(result, str(out))
+    found = json.loads(out.read_text())
+    assert list(found) == ["items", "_meta"]
+    assert [i["item_name"] for i in found["items"]] == ["first", "second", "third"]
+    assert found["_meta"]["total_messages_analyzed"] == 93 and found["_meta"]["source_file"] == "in.json"
+    assert {(r.fname, r.error) for r in result.errors.collect()} == {("c2", "not_json"), ("c3", "gave_up")}
+
+
+def test_a_second_run_asks_for_what_failed_only(spark, tmp_path):
+    chunks, cache = C.prompts(messages(spark, 1, 1), ITEMS), str(tmp_path / "cache")
+    first = answered(chunks, ITEMS, ReplayProvider([("c0 m0", [item("x")]), ("c1 m0", ["ServerError"])]), cache, 1, nap)
+    assert {r.fname: r.status for r in first.collect()} == {"c0": "answered", "c1": "gave_up"}
+    second = answered(chunks, ITEMS, ReplayProvider([("c0 m0", ["changed"]), ("c1 m0", [item("y")])]), cache, 1, nap)
+    assert {r.fname: r.raw for r in second.collect()} == {"c0": item("x"), "c1": item("y")}
+
+
+def test_insights_profile_has_nine_lists_in_order(spark, tmp_path):
+    provider = ReplayProvider(default='{"action_items": [{"action": "call"}], "customer_enquiries": [{"customer": "A"}]}')
+    result = extract(messages(spark, 2), INSIGHTS, provider, str(tmp_path / "c"), "x", sleep=nap)
+    write_insights(result, str(tmp_path / "o.json"))
+    found = json.loads((tmp_path / "o.json").read_text())
+    assert list(found) == [*INSIGHTS.keys, "_meta"] and len(INSIGHTS.keys) == 9
+    assert found["action_items"] == [{"action": "call"}]
+
+
+def test_parse_and_read_back(spark, tmp_path):
+    text = tmp_path / "a.txt"
+    text.write_text("12/06/24, 9:16 - Ann: one é\n12/06/24, 9:17 - Ann: two")
+    out = cli.parse(spark, str(text))
+    assert out == str(tmp_path / "a_parsed.json")
+    assert json.loads(open(out, encoding="utf-8").read()) == [
+        {"date": "12/06/24", "time": "9:16 ", "sender": "Ann", "message": "one é"},
+        {"date": "12/06/24", "time": "9:17 ", "sender": "Ann", "message": "two"},
+    ]
+    assert [r.message for r in read_parsed(spark, out).orderBy("g").collect()] == ["one é", "two"]
+
+
+def test_nested_document_and_empty_one(spark, tmp_path):
+    found = spark.createDataFrame(
+        [("s", "b.txt", "b", []), ("s", "a.txt", "a", [("d", "t", "s", "m", "a")])],
+        "src string, fname string, customer_name string, messages array<struct<date:string,time:string,sender:string,message:string,customer_name:string>>",
+    )
+    path = str(tmp_path / "n.json")
+    assert write_parsed(found, path) == (2, 1)
+    assert [c["customer_name"] for c in json.load(open(path))] == ["a", "b"]
+    assert [(r.customer_name, r.message) for r in read_parsed(spark, path).collect()] == [("a", "m")]
+    write_parsed_lines(found, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    (tmp_path / "e.json").write_text("[]")
+    assert read_parsed(spark, str(tmp_path / "e.json")).count() == 0
+
+
+def test_command_line(capsys, monkeypatch):
+    for arguments in ([], ["parse"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(arguments)
+        assert e.value.code == 1
+    with pytest.raises(SystemExit) as e:
+        require_key("NO_SUCH_KEY", {})
+    assert e.value.code == 1
+
+
+def test_request_holds_the_key_in_a_header_only():
+    request = HttpProvider("https://example.invalid/x", "K").request(INSIGHTS, "hello", "secret")
+    assert b"secret" not in request.data and json.loads(request.data)["max_tokens"] == 4000
+    assert request.headers["Authorization"] == "Bearer secret"
+
+
+@pytest.mark.parametrize("path,want", [("a/b.zip", "a/b_parsed.json"), ("d.x/plain", "d_parsed.json")])
+def test_parsed_path(path, want):
+    assert parsed_path(path) == want
