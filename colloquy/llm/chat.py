@@ -78,17 +78,34 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def select_mapping(schema: T.StructType) -> Mapping:
+    """The mapping of the schema's fingerprint.
+
+    A schema that mixes fields of several layouts has no mapping of its own; it gets the first
+    one, in the order declared, all of whose needed fields it has.
+    """
     known = {h: m for m in MAPPINGS for h in m.fingerprints()}
-    found = known.get(fingerprint(schema_paths(schema)))
+    have = schema_paths(schema)
+    found = known.get(fingerprint(have)) or next((m for m in MAPPINGS if have.issuperset(m.needed)), None)
     if found is None:
-        raise ValueError(f"no mapping for the layout {sorted(schema_paths(schema))}")
+        raise ValueError(f"no mapping for the layout {sorted(have)}")
     return found
 
 
-def json_fingerprint(value: Column) -> Column:
-    """Fingerprint of each parsed JSON row (VARIANT); array fields are looked for in the first element."""
+def json_paths(value: Column) -> Column:
+    """Those of PATHS that a parsed JSON row (VARIANT) has; array fields are looked for in the first element."""
     there = [F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in PATHS]
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*there)), "\n"))
+    return F.array_compact(F.array(*there))
+
+
+def json_mapping(paths: Column) -> Column:
+    """Name of the mapping of each row: by the fingerprint of its paths, else as for schemas."""
+    h, named = F.xxhash64(F.array_join(paths, "\n")), F.lit(None).cast("string")
+    usable = [m for m in MAPPINGS if not m.key]
+    for m in reversed(usable):
+        named = F.when(F.size(F.array_except(F.array(*map(F.lit, m.needed)), paths)) == 0, m.name).otherwise(named)
+    for m in usable:
+        named = F.when(h.isin(sorted(m.fingerprints())), m.name).otherwise(named)
+    return named
 
 
 def canonical_role(role: Column) -> Column:
@@ -136,8 +153,9 @@ def canonical_turns_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame
     ``layout`` is the mapping's name; it and ``turns`` are null where no mapping fits or the text
     is no JSON object, so that such rows can be counted and kept.
     """
-    read = df.select(F.col(id_col), F.try_parse_json(F.col(json_col)).alias("v")).withColumn("h", json_fingerprint(F.col("v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    parsed = df.select(F.col(id_col), F.try_parse_json(F.col(json_col)).alias("v"))
+    read = parsed.withColumn("layout", json_mapping(json_paths(F.col("v"))))
+    turns = F.lit(None).cast(TURNS)
     for mapping in MAPPINGS:
         if mapping.key:
             continue
@@ -147,9 +165,8 @@ def canonical_turns_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame
                 return F.try_variant_get("v", f"$.{path}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
             return F.try_variant_get("v", f"$.{path}", "string")
 
-        mine = F.col("h").isin(sorted(mapping.fingerprints()))
-        layout, turns = F.when(mine, mapping.name).otherwise(layout), F.when(mine, mapped_turns(mapping, get)).otherwise(turns)
-    return read.select(id_col, layout.alias("layout"), turns.alias("turns"))
+        turns = F.when(F.col("layout") == mapping.name, mapped_turns(mapping, get)).otherwise(turns)
+    return read.select(id_col, "layout", turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -191,9 +191,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by their place in the input, not by their id, so of repeated ids too one
     row stays. ``docs`` has to be a table that reads the same each time, such as a written one.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_duplicates(numbered.select("_row", F.col(text_col).alias("text")), "_row", "text", shingle)
-    ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("id"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = near_duplicates(numbered.select(row, F.col(text_col).alias("text")), row, "text", shingle)
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id")))
-    kept = groups.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select(F.col("first.doc_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = groups.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select(F.col("first.doc_id").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
