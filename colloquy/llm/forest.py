@@ -14,6 +14,7 @@ fill up the candidates nor make a block grow.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ TREES = 128
 BITS = 32
 #: Share of a block that a query's candidates come to. Nearly orthogonal neighbours need so many.
 SHARE = 0.35
+#: Candidates that a query gets in any block that has so many.
+LEAST = 1024
 SEED = 11
 
 
@@ -55,29 +58,41 @@ class Forest:
         self.order = np.argsort(found, axis=1, kind="stable")
         self.sorted = np.take_along_axis(found, self.order, axis=1)
 
-    def ranges(self, queries: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, trees) bounds in the sorted arrays, at the longest prefix that gives the wanted share."""
+    def bounds(self, found: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, trees) bounds in the sorted arrays of what shares the first ``depth`` bits."""
+        shift = self.bits - depth
+        prefix = found >> shift << shift
+        low = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, prefix, strict=True)], axis=1)
+        high = np.stack([np.searchsorted(s, p + (1 << shift)) for s, p in zip(self.sorted, prefix, strict=True)], axis=1)
+        return low, high
+
+    def search(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each query at least ``least`` vectors of the block, or all of it if that is smaller.
+
+        All trees stand at the same depth: first at the greatest one where their matches could be
+        enough if no two were the same vector by more than chance, then one up at a time until they are.
+        """
         found, rows = strings(queries, self.normals, self.trees, self.bits), len(self.vectors)
-        low, high = np.zeros((len(queries), self.trees), np.int64), np.full((len(queries), self.trees), rows)
-        wait = np.arange(len(queries))
-        for depth in range(self.bits, 0, -1):  # at depth 0 all of the block is a candidate
+        least = min(least, rows)
+        depths, wait = np.zeros(len(queries), np.int64), np.arange(len(queries))
+        for depth in range(self.bits, 0, -1):
+            low, high = self.bounds(found[:, wait], depth)
+            enough = rows * (1 - np.prod(1 - (high - low) / rows, axis=1)) >= least
+            depths[wait[enough]] = depth
+            wait = wait[~enough]
             if not len(wait):
                 break
-            shift = self.bits - depth
-            for t in range(self.trees):
-                prefix = found[t, wait] >> shift << shift
-                low[wait, t] = np.searchsorted(self.sorted[t], prefix)
-                high[wait, t] = np.searchsorted(self.sorted[t], prefix + (1 << shift))
-            missed = np.prod(1 - (high[wait] - low[wait]) / rows, axis=1)
-            wait = wait[1 - missed < share]
-        low[wait], high[wait] = 0, rows
-        return low, high
-
-    def candidates(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        hit = np.zeros(len(self.vectors), bool)
-        for t in range(self.trees):
-            hit[self.order[t, low[t] : high[t]]] = True
-        return np.flatnonzero(hit)
+        for q, depth in enumerate(depths):
+            while True:
+                low, high = self.bounds(found[:, q : q + 1], depth)
+                hit = np.zeros(rows, bool)
+                for order, a, z in zip(self.order, low[0], high[0], strict=True):
+                    hit[order[a:z]] = True
+                at = np.flatnonzero(hit)
+                if len(at) >= least:
+                    break
+                depth -= 1
+            yield at
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -85,7 +100,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, block_rows: int = BLOCK_ROWS, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found by cosine, ties to smaller ids.
 
     Queries are the rows whose id is divisible by ``every``; a query is no candidate of its own.
@@ -117,9 +132,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             asked, query_ids = matrix(wanted["vector"]), wanted["id"].to_pylist()
             norms, lengths = np.linalg.norm(raw, axis=1), np.linalg.norm(asked, axis=1)
             forest = Forest(raw, trees, bits, seed)
-            low, high = forest.ranges(asked, share)
-            for q, query in enumerate(query_ids):
-                at = forest.candidates(low[q], high[q])
+            # One more than asked for, as the query's own entry may be among them.
+            wanted_rows = max(k + 1, least, math.ceil(share * len(raw)))
+            for q, (query, at) in enumerate(zip(query_ids, forest.search(asked, wanted_rows), strict=True)):
                 scores = raw[at] @ asked[q] / (norms[at] * lengths[q])
                 if len(at) > k + 1:
                     # Entries as good as the (k + 1)th best stay in: the query's own entry may be one.
