@@ -185,3 +185,17 @@ def test_request_holds_the_key_in_a_header_only():
 @pytest.mark.parametrize("path,want", [("a/b.zip", "a/b_parsed.json"), ("d.x/plain", "d_parsed.json")])
 def test_parsed_path(path, want):
     assert parsed_path(path) == want
+
+
+def test_views(spark, tmp_path):
+    from colloquy.plans import views
+    from colloquy.sources.exports import FILES
+
+    files = spark.createDataFrame([("s", "a.txt", "a", "12/06/24, 9:16 - A: x"), ("s", "b.txt", "b", "")], FILES)
+    views.register(files)
+    assert spark.sql("SELECT count(*) FROM customers").first()[0] == 2
+    assert spark.sql("SELECT m.sender, c.n_messages FROM messages m JOIN chunks c USING (src, fname)").collect() == [("A", 1)]
+    result = extract(messages(spark, 1), ITEMS, ReplayProvider(default=item("rice")), str(tmp_path / "c"), "x", sleep=nap)
+    views.register_extraction(result)
+    assert spark.sql("SELECT item_name, quantity FROM items").collect() == [("rice", 5.0)]
+    assert spark.sql("SELECT count(*) FROM insights").first()[0] == 1
