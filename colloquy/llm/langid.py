@@ -25,6 +25,10 @@ FEATURES = 1 << 17
 #: Most training documents of one language, and their greatest length: what the driver may hold.
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 12_000
+#: Most training documents in all.
+SAMPLE_TOTAL = 2_000
+#: Values of the hash that chooses them.
+HASHES = 1 << 40
 #: Most languages that a model learns; the most frequent ones are taken.
 MOST_LANGS = 64
 LEXICON = 20_000
@@ -225,18 +229,29 @@ class LanguageModel:
 
 
 def training_sample(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded sample: whole texts, those of least hashed id in each language."""
+    """A bounded sample: whole texts, those of least hash in each language.
+
+    The languages' counts say how small a hash has to be to come into question, so that no more
+    than a few times the sample is shuffled, whatever the size of the table.
+    """
     usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)
     )
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("text"))
-    rows = usable.where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_lang)
+    counts = [tuple(r) for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    if not counts:
+        return []
+    each = max(1, min(per_lang, SAMPLE_TOTAL // len(counts)))
+    place = F.pmod(F.xxhash64("k", "text"), F.lit(HASHES))
+    below = F.lit(0)
+    for lang, n in counts:
+        below = F.when(F.col("lang") == lang, F.lit(HASHES if n <= 8 * each else -(-HASHES * 4 * each // n))).otherwise(below)
+    ranked = Window.partitionBy("lang").orderBy("h", "k", "text")
+    rows = usable.withColumn("h", place).where(F.col("h") < below).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= each)
     return sorted((r.lang, r.text) for r in rows.select("lang", "text").collect())
 
 
 def fit_languages(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = 4, seed: int = 7) -> LanguageModel:
-    """Learn from at most ``per_lang`` documents of each of at most MOST_LANGS languages.
+    """Learn from at most ``per_lang`` documents of each of at most MOST_LANGS languages, SAMPLE_TOTAL in all.
 
     Spans of documents in different languages are spliced into training sequences, so that
     changes of language are seen. Rows without text or language teach nothing; without any
