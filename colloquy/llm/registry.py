@@ -116,4 +116,25 @@ ORACLES: dict[str, str] = {
             CAST(sum(24 + length(role) + length(regexp_replace(text, '<(!*)[|]', '<!\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    # The checksum goes bit by bit: each byte is taken in with the first of its eight bits.
+    "op3_sharding": """
+        WITH bits AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+                flatten(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b
+            FROM documents
+        ),
+        sized AS (
+            SELECT doc_id, CAST(size AS BIGINT) AS size,
+                CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS BIGINT) AS text_crc32
+            FROM bits
+        ),
+        placed AS (
+            SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total
+            FROM sized
+        ),
+        cut AS (SELECT *, CAST(least(23, (2 * upto - size) * 24 // (2 * total)) AS INTEGER) AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+            CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM cut
+    """,
 }
