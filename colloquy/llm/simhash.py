@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = members.join(lowest, "root").select("fp", "component_id")
     found = classes.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    found = materialise(found)  # two plain exchanges meet below, so Spark can split a fingerprint that many rows have
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
