@@ -34,7 +34,7 @@ MOST_LANGS = 64
 LEXICON = 20_000
 SEGMENT = 32
 #: Characters that are scored at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 UNKNOWN = "und"
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -63,6 +63,18 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, begins[:-1]
 
 
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts that come to SLICE_CHARS at most, or of one longer text."""
+    i = 0
+    while i < len(texts):
+        stop, chars = i + 1, len(texts[i])
+        while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
+            chars += len(texts[stop])
+            stop += 1
+        yield i, stop
+        i = stop
+
+
 def spread(h: np.ndarray, bits: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _K[1]
     return (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -199,18 +211,12 @@ class LanguageModel:
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts' word counts, their words' label probabilities, and the words' places (text, start, end)."""
         scores, counts, places = [], [np.zeros(0, np.int64)], []
-        i = 0
-        while i < len(texts):
-            stop, chars = i + 1, len(texts[i])
-            while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
-                chars += len(texts[stop])
-                stop += 1
+        for i, stop in slices(texts):
             found = find_words(texts[i:stop])
             scores.append(self.emissions(found))
             counts.append(np.bincount(found.text, minlength=stop - i))
             offset = np.cumsum([3, *(len(t) + 3 for t in texts[i:stop])])[found.text]
             places.append(np.stack([found.text + i, found.start - offset, found.end - offset], axis=1))
-            i = stop
         counts = np.concatenate(counts)
         if not scores or not counts.sum():
             return counts, np.zeros((0, len(self.langs))), np.zeros((0, 3), np.int64)
@@ -268,29 +274,34 @@ def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageMode
         return model
     rng = np.random.default_rng(seed)
     number = {lang: i for i, lang in enumerate(langs)}
-    found = find_words([text for _, text in sample])
-    if not len(found.start):
+    # Words of all texts, a slice at a time; of their features only the slots are kept, in order of the words.
+    owner, whole, many, slot = [], [], [], []
+    for first, upto in slices([text for _, text in sample]):
+        found = find_words([text for _, text in sample[first:upto]])
+        span = found.end - found.start + 1
+        word = np.repeat(np.arange(len(span)), span)
+        spot = np.repeat(found.start - 1, span) + np.arange(len(word)) - np.repeat(np.cumsum(span) - span, span)
+        slots = found.local[:, spot]
+        used = slots > 0
+        owner.append(found.text + first)
+        whole.append(found.whole)
+        many.append(np.bincount(np.repeat(word[None], 3, axis=0)[used], minlength=len(span)))
+        slot.append(slots.T[used.T].astype(np.int32))
+    owner, whole, many, slot = (np.concatenate(x) for x in (owner, whole, many, slot))
+    if not len(owner):
         return model
-    truth = np.array([number[lang] for lang, _ in sample])[found.text]
-    hashes, often = np.unique(found.whole, return_counts=True)
+    truth = np.array([number[lang] for lang, _ in sample])[owner]
+    hashes, often = np.unique(whole, return_counts=True)
     if len(hashes) > LEXICON:
         hashes = np.sort(hashes[np.argsort(-often, kind="stable")[:LEXICON]])
     model.lexicon = hashes
     model.words = np.zeros((len(hashes) + 1, size), np.float32)
-    lexical = model.known(found.whole)
-    # Features of each word, as (word, slot) pairs in order of the words.
-    span = found.end - found.start + 1
-    word = np.repeat(np.arange(len(span)), span)
-    spot = np.repeat(found.start - 1, span) + np.arange(len(word)) - np.repeat(np.cumsum(span) - span, span)
-    pairs = [(word[ok], slots[ok]) for slots in (found.local[r][spot] for r in range(3)) for ok in [slots > 0]]
-    word, slot = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    by_word = np.argsort(word, kind="stable")
-    word, slot = word[by_word], slot[by_word]
-    at = np.searchsorted(word, np.arange(len(span) + 1))
+    lexical = model.known(whole)
+    at = np.concatenate([[0], np.cumsum(many)])
     # Training sequences: spans of 4 to 64 words, in random order, cut to equal length.
     cuts, i = [], 0
-    while i < len(span):
-        upto = min(int(np.searchsorted(found.text, found.text[i], side="right")), i + int(rng.integers(4, 65)))
+    while i < len(owner):
+        upto = min(int(np.searchsorted(owner, owner[i], side="right")), i + int(rng.integers(4, 65)))
         cuts.append((i, upto))
         i = upto
     rng.shuffle(cuts)
@@ -304,13 +315,13 @@ def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageMode
             words = order[rows].ravel()
             counts = at[words + 1] - at[words]
             spots = np.repeat(at[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            slots, owner = slot[spots], np.repeat(np.arange(len(words)), counts)
-            scores = np.stack([np.bincount(owner, model.weights[slots, k], len(words)) for k in range(size)], axis=1) + model.words[lexical[words]]
+            slots, of = slot[spots], np.repeat(np.arange(len(words)), counts)
+            scores = np.stack([np.bincount(of, model.weights[slots, k], len(words)) for k in range(size)], axis=1) + model.words[lexical[words]]
             posterior, expected, seen = sequence_gradient(scores.reshape(-1, length, size), model.transitions, truth[words].reshape(-1, length))
             error = posterior.reshape(-1, size)
             error[np.arange(len(words)), truth[words]] -= 1
             for k in range(size):
-                g = np.bincount(slots, error[owner, k], FEATURES) / len(rows) + 1e-5 * model.weights[:, k]
+                g = np.bincount(slots, error[of, k], FEATURES) / len(rows) + 1e-5 * model.weights[:, k]
                 grad_w[:, k] += g * g
                 model.weights[:, k] -= rate * g / np.sqrt(grad_w[:, k])
                 g = np.bincount(lexical[words], error[:, k], len(model.words)) / len(rows) + 1e-5 * model.words[:, k]

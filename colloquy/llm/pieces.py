@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Units that a worker keeps; beyond it the table starts anew.
-KEPT_UNITS = 500_000
+#: Units that a worker keeps in each of two generations: the older one goes when the newer is full.
+KEPT_UNITS = 150_000
 #: Units longer than this are not kept.
 KEPT_CHARS = 64
 
@@ -60,6 +60,7 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair, the leftmost of equals, until none is left."""
@@ -76,7 +77,7 @@ class PieceCodec:
 
     def compatible(self, left: str, right: str) -> bool:
         if (found := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= 4 * self.kept:
+            if len(self.pairs) >= 2 * self.kept:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -134,11 +135,13 @@ class PieceCodec:
         except KeyError:
             pass
         if len(cache) > self.kept:
-            cache.clear()
+            self.older, self.cache = cache, (cache := {})
         found = []
         for u in units:
             if (ids := cache.get(u)) is None:
-                ids = self.unit_ids(u)
+                ids = self.older.get(u)
+                if ids is None:
+                    ids = self.unit_ids(u)
                 if len(u) <= KEPT_CHARS:
                     cache[u] = ids
             found.append(ids)

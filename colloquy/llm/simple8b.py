@@ -31,7 +31,8 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 COUNTS = np.array([0, *(60 // BITS[1:])], np.int64)
 ESCAPE = 1 << 60
 BLOCK_IDS = 65_536
-KEPT_CHUNKS = 500_000
+#: Chunks, and words, that a worker keeps in each of two generations: the older one goes when the newer is full.
+KEPT_CHUNKS = 200_000
 
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, counts array<long>, n_ids long, words binary, escape_at array<long>, escapes array<long>"
 
@@ -116,6 +117,7 @@ class ChunkTokenizer:
         self.kept = kept
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = [b for b in range(256) if b not in shown]
@@ -130,12 +132,15 @@ class ChunkTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        for kept in (self.chunks, self.words):
-            if len(kept) > self.kept:
-                kept.clear()
+        if len(self.chunks) > self.kept:
+            self.older, self.chunks = self.chunks, {}
+        if len(self.words) > self.kept:
+            self.words.clear()
         known, other = self.chunks, []
         for chunk in set().union(*chunks).difference(known):
-            if self.PLAIN.fullmatch(chunk):
+            if (ids := self.older.get(chunk)) is not None:
+                known[chunk] = ids
+            elif self.PLAIN.fullmatch(chunk):
                 known[chunk] = b"".join([self.word(w) for w in self.WORDS.findall(chunk.lower())])
             else:
                 other.append(chunk)

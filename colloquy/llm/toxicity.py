@@ -21,7 +21,7 @@ SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 6_000
 SAMPLE_CHARS = 12_000
 #: Bytes that are hashed at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
