@@ -115,7 +115,9 @@ def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, slee
 def cached(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
 
 

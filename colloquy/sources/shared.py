@@ -7,17 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Local folders of sessions without a shared one, by application: for tests on one machine.
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="colloquy-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+        application = spark.sparkContext.applicationId
+        found = _local.setdefault(application, _local.get(application) or tempfile.mkdtemp(prefix="colloquy-shared-"))
+    return found.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/colloquy-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
