@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources.shared import materialise, shared_dir
+
+__all__ = ["held_out", "materialise", "read_table", "shared_dir"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,23 +19,3 @@ def held_out(doc_id: Column | str) -> Column:
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     fold = F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(5))
     return F.coalesce(fold == 0, F.lit(True))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="colloquy-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/colloquy-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
