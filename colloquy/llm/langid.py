@@ -29,8 +29,10 @@ SAMPLE_CHARS = 12_000
 SAMPLE_TOTAL = 2_000
 #: Values of the hash that chooses them.
 HASHES = 1 << 40
-#: Most languages that a model learns; the most frequent ones are taken.
-MOST_LANGS = 64
+#: Languages that have FEATURES slots each and texts in full slices; more languages share fewer slots and have smaller slices.
+FULL_LANGS = 64
+#: Numbers in the transfer matrices that are multiplied at once.
+TRANSFERS = 1 << 22
 LEXICON = 20_000
 SEGMENT = 32
 #: Characters that are scored at a time.
@@ -63,12 +65,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, begins[:-1]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts that come to SLICE_CHARS at most, or of one longer text."""
-    i = 0
+def slices(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts that come to ``most`` characters (SLICE_CHARS) at most, or of one longer text."""
+    i, most = 0, SLICE_CHARS if most is None else most
     while i < len(texts):
         stop, chars = i + 1, len(texts[i])
-        while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
+        while stop < len(texts) and chars + len(texts[stop]) <= most:
             chars += len(texts[stop])
             stop += 1
         yield i, stop
@@ -126,7 +128,7 @@ def find_words(texts: list[str]) -> Words:
 
 @dataclass
 class LanguageModel:
-    """Weights small enough to broadcast: (FEATURES + LEXICON) x languages floats."""
+    """Weights small enough to broadcast: (slots + LEXICON) x languages floats, where slots x languages is bounded."""
 
     langs: list[str]
     weights: np.ndarray
@@ -137,12 +139,19 @@ class LanguageModel:
     def emissions(self, found: Words) -> np.ndarray:
         if not len(found.start):
             return np.zeros((0, len(self.langs)), np.float32)
-        by_letter = self.weights[found.local[0]]
-        by_letter += self.weights[found.local[1]]
-        by_letter += self.weights[found.local[2]]
+        local = self.slots(found.local)
+        by_letter = self.weights[local[0]]
+        by_letter += self.weights[local[1]]
+        by_letter += self.weights[local[2]]
         scores = np.add.reduceat(by_letter, found.start - 1, axis=0)
         return scores + self.words[self.known(found.whole)]
 
+    def slots(self, local: np.ndarray) -> np.ndarray:
+        """The features' rows in ``weights``, which may have fewer than FEATURES."""
+        if len(self.weights) >= FEATURES:
+            return local
+        return np.where(local > 0, np.maximum(1, local * len(self.weights) // FEATURES), 0)
+
     def known(self, whole: np.ndarray) -> np.ndarray:
         """Row in ``words`` of each hash; row 0 stands for any other word."""
         if not len(self.lexicon):
@@ -211,7 +220,7 @@ class LanguageModel:
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts' word counts, their words' label probabilities, and the words' places (text, start, end)."""
         scores, counts, places = [], [np.zeros(0, np.int64)], []
-        for i, stop in slices(texts):
+        for i, stop in slices(texts, SLICE_CHARS * FULL_LANGS // max(FULL_LANGS, len(self.langs))):
             found = find_words(texts[i:stop])
             scores.append(self.emissions(found))
             counts.append(np.bincount(found.text, minlength=stop - i))
@@ -220,7 +229,12 @@ class LanguageModel:
         counts = np.concatenate(counts)
         if not scores or not counts.sum():
             return counts, np.zeros((0, len(self.langs))), np.zeros((0, 3), np.int64)
-        return counts, self.probabilities(np.concatenate(scores), counts), np.concatenate(places)
+        scores, words = np.concatenate(scores), np.concatenate([[0], np.cumsum(counts)])
+        # Texts of one call are those whose transfer matrices fit, one text at least.
+        group = np.cumsum(-(-counts // SEGMENT)) * len(self.langs) ** 2 // TRANSFERS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
+        found = [self.probabilities(scores[words[a] : words[b]], counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return counts, np.concatenate(found), np.concatenate(places)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         counts, probabilities, _ = self.label(texts)
@@ -235,29 +249,33 @@ class LanguageModel:
 
 
 def training_sample(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded sample: whole texts, those of least hash in each language.
+    """A bounded sample of every language: whole texts, those of least hash in each language.
 
-    The languages' counts say how small a hash has to be to come into question, so that no more
-    than a few times the sample is shuffled, whatever the size of the table.
+    Where a language has too few texts of at most ``most_chars``, the beginnings of longer ones
+    are taken after them. The languages' counts say how small a hash has to be to come into
+    question, so that no more than a few times the sample is shuffled, whatever the table's size.
     """
-    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)
-    )
-    counts = [tuple(r) for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    long = F.length("text") > most_chars
+    counts = usable.groupBy("lang").agg(F.count("*").alias("every"), F.count(F.when(~long, 1)).alias("short")).collect()
     if not counts:
         return []
     each = max(1, min(per_lang, SAMPLE_TOTAL // len(counts)))
     place = F.pmod(F.xxhash64("k", "text"), F.lit(HASHES))
-    below = F.lit(0)
-    for lang, n in counts:
-        below = F.when(F.col("lang") == lang, F.lit(HASHES if n <= 8 * each else -(-HASHES * 4 * each // n))).otherwise(below)
-    ranked = Window.partitionBy("lang").orderBy("h", "k", "text")
-    rows = usable.withColumn("h", place).where(F.col("h") < below).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= each)
+    rules = []
+    for lang, every, short in counts:
+        n = short if short >= each else every
+        rules.append((lang, short < each, HASHES if n <= 8 * each else -(-HASHES * 4 * each // n)))
+    rules = F.broadcast(docs.sparkSession.createDataFrame(rules, "lang string, all boolean, below long"))
+    ranked = Window.partitionBy("lang").orderBy("long", "h", "k", "text")
+    chosen = usable.join(rules, "lang").withColumn("long", long).withColumn("h", place).where((F.col("h") < F.col("below")) & (F.col("all") | ~F.col("long")))
+    cut = chosen.select("lang", F.substring("text", 1, most_chars).alias("text"), "long", "h", "k")
+    rows = cut.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= each)
     return sorted((r.lang, r.text) for r in rows.select("lang", "text").collect())
 
 
 def fit_languages(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = 4, seed: int = 7) -> LanguageModel:
-    """Learn from at most ``per_lang`` documents of each of at most MOST_LANGS languages, SAMPLE_TOTAL in all.
+    """Learn every language, from at most ``per_lang`` documents of each; SAMPLE_TOTAL in all, or one of each language.
 
     Spans of documents in different languages are spliced into training sequences, so that
     changes of language are seen. Rows without text or language teach nothing; without any
@@ -269,7 +287,10 @@ def fit_languages(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_chars: int
 def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageModel:
     langs = sorted({lang for lang, _ in sample})
     size = len(langs)
-    model = LanguageModel(langs, np.zeros((FEATURES, size), np.float32), np.zeros(0, np.uint64), np.zeros((1, size), np.float32), np.zeros((size, size)))
+    features = FEATURES
+    while features * size > FEATURES * FULL_LANGS and features > FEATURES >> 7:
+        features //= 2
+    model = LanguageModel(langs, np.zeros((features, size), np.float32), np.zeros(0, np.uint64), np.zeros((1, size), np.float32), np.zeros((size, size)))
     if not size:
         return model
     rng = np.random.default_rng(seed)
@@ -281,7 +302,7 @@ def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageMode
         span = found.end - found.start + 1
         word = np.repeat(np.arange(len(span)), span)
         spot = np.repeat(found.start - 1, span) + np.arange(len(word)) - np.repeat(np.cumsum(span) - span, span)
-        slots = found.local[:, spot]
+        slots = model.slots(found.local)[:, spot]
         used = slots > 0
         owner.append(found.text + first)
         whole.append(found.whole)
@@ -321,7 +342,7 @@ def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageMode
             error = posterior.reshape(-1, size)
             error[np.arange(len(words)), truth[words]] -= 1
             for k in range(size):
-                g = np.bincount(slots, error[of, k], FEATURES) / len(rows) + 1e-5 * model.weights[:, k]
+                g = np.bincount(slots, error[of, k], features) / len(rows) + 1e-5 * model.weights[:, k]
                 grad_w[:, k] += g * g
                 model.weights[:, k] -= rate * g / np.sqrt(grad_w[:, k])
                 g = np.bincount(lexical[words], error[:, k], len(model.words)) / len(rows) + 1e-5 * model.words[:, k]

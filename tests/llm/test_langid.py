@@ -110,3 +110,21 @@ def test_held_out_accuracy(spark):
     got = op2_language_id(spark, DATA).join(docs, "doc_id").where("held_out").collect()
     assert len(got) > 1500 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = {}
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(12)]
+        texts[f"l{k:02}"] = " ".join(words * 8)
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(texts.items()) for _ in range(1 if lang == "l69" else 2)]
+    rows += [(1000 + k, EN * 400, "long") for k in range(3)]  # no document short enough
+    assert len(EN * 400) > L.SAMPLE_CHARS
+    m = L.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == sorted([*texts, "long"]) and m.weights.size <= L.FEATURES * L.FULL_LANGS
+    ask = [*texts.values(), EN, ""]
+    got = m.predict(ask)
+    assert np.mean([a == b for a, b in zip(got[0], [*texts, "long", "und"], strict=True)]) > 0.95 and got[0][-2] == "long"
+    monkeypatch.setattr(L, "TRANSFERS", 1)  # texts one by one give the same
+    assert m.predict(ask)[0] == got[0]
