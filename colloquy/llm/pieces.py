@@ -171,6 +171,11 @@ def codec(model: str) -> PieceCodec:
     return _codecs[model]
 
 
+def id_array(ids: list[bytes]) -> np.ndarray:
+    """Numbers of decimal ids of any length."""
+    return np.array(ids, "S").astype(np.int32) if ids else np.zeros(0, np.int32)
+
+
 def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded), one for each row of ``docs``.
 
@@ -192,7 +197,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
                 id_digests.append(hashlib.sha256(joined).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(np.array(ids, "S5").astype(np.int32) if ids else np.zeros(0, np.int32))
+                    all_ids.append(id_array(ids))
                 if keep_text:
                     texts.append(decoded)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from colloquy.llm.pieces import PieceCodec, encode_pieces
+from colloquy.llm.pieces import PieceCodec, encode_pieces, id_array
 from colloquy.llm.simple8b import ChunkTokenizer, pack, read_tokens, token_dataset, unpack
 from colloquy.llm.token_counts import TokenCounter, count_tokens
 from tests.llm.helpers import none, with_clashes
@@ -116,3 +116,7 @@ def test_token_dataset(spark, block_ids):
 
 def test_empty_token_dataset(spark):
     assert read_tokens(spark, token_dataset(none(spark))).count() == 0
+
+
+def test_ids_of_more_than_five_digits():
+    assert id_array([b"7", b"123456", b"99999"]).tolist() == [7, 123456, 99999] and id_array([]).tolist() == []
