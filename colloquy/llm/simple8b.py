@@ -10,11 +10,13 @@ written by range partitions in ascending document order.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -94,6 +96,23 @@ def unpack(words: np.ndarray, n: int, escape_at: np.ndarray | None = None, escap
     return ids
 
 
+class Kept(dict):
+    """A table that makes what it lacks, in two generations: the older one goes when the newer is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.older.get(key)) is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class ChunkTokenizer:
     """Ids of texts from the library, which sees each word once.
 
@@ -101,12 +120,16 @@ class ChunkTokenizer:
     its chunks in order. Cuts are at spaces and newlines only; any other white space stays inside
     a chunk for the library to deal with. A new chunk of plain western characters is lower-cased
     and cut by the tokenizer's own pattern here, and the library's model gets the new words; the
-    library gets any other chunk as it is.
+    library gets any other chunk as it is. A tokenizer with other rules gets every text whole.
     """
 
     #: Nothing here changes under NFC, has an unusual lower case or starts a special token.
-    PLAIN = re.compile("(?!.*<\\|)[!-~À-ÖØ-öø-ÿ]*")
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
     WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    # The rules of the tokenizer file that the two patterns restate.
+    NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
 
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,39 +137,45 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.kept = kept
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.by_words = self.follows(json.loads(self.tokenizer.to_str()))
+        self.chunks, self.words = Kept(self.chunk, kept), Kept(self.word, kept)
         # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = [b for b in range(256) if b not in shown]
         self.byte_char = [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
+    @classmethod
+    def follows(cls, rules: dict) -> bool:
+        """Whether a tokenizer file has the rules that this class restates."""
+        cut, model = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [], rules["model"]
+        return (
+            (rules.get("normalizer") or {}).get("normalizers") == cls.NORMALISERS
+            and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+            and cut[0].get("pattern") == {"Regex": cls.PATTERN}
+            and (cut[0].get("behavior"), cut[0].get("invert")) == ("Removed", True)
+            and (cut[1].get("add_prefix_space"), cut[1].get("use_regex")) == (False, False)
+            and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("ignore_merges")) == ("BPE", cls.WORD_END, None, False)
+            and all(t["content"].startswith("<|") for t in rules.get("added_tokens") or [])
+        )
+
     def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            level = word if word.isascii() else "".join([self.byte_char[b] for b in word.encode()])
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(level)], "<u4").tobytes()
-        return ids
+        level = word if word.isascii() else "".join([self.byte_char[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[chunk.lower()]
+        if self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            words = self.words
+            return b"".join([words[w] for w in self.WORDS.findall(chunk.lower())])
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > self.kept:
-            self.older, self.chunks = self.chunks, {}
-        if len(self.words) > self.kept:
-            self.words.clear()
-        known, other = self.chunks, []
-        for chunk in set().union(*chunks).difference(known):
-            if (ids := self.older.get(chunk)) is not None:
-                known[chunk] = ids
-            elif self.PLAIN.fullmatch(chunk):
-                known[chunk] = b"".join([self.word(w) for w in self.WORDS.findall(chunk.lower())])
-            else:
-                other.append(chunk)
-        for chunk, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in own]) for own in chunks]
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        chunks = self.chunks
+        return [b"".join([chunks[c] for c in t.replace("\n", " ").split(" ")]) for t in texts]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -101,6 +102,31 @@ def test_chunked_words_are_the_librarys(texts):
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == TK.encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_of_other_rules_gets_whole_texts(tmp_path):
+    rules = json.loads(TK.to_str())
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]  # keeps capitals
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    own, library = ChunkTokenizer(str(path)), Tokenizer.from_file(str(path))
+    assert ChunkTokenizer(WORD).by_words and not own.by_words
+    assert np.frombuffer(own.ids([LONG])[0], "<u4").tolist() == library.encode(LONG, add_special_tokens=False).ids
+
+
+def test_a_model_with_a_normaliser_or_symbols_is_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    for change in (lambda m: m.pieces[5000].__setattr__("type", 4), lambda m: m.normalizer_spec.__setattr__("remove_extra_whitespaces", True)):
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(SP.serialized_model_proto())
+        change(model)
+        for p in model.pieces[5000:5001]:
+            p.score = 0.0 if p.type == 4 else p.score
+        path = tmp_path / "other.model"
+        path.write_bytes(model.SerializeToString())
+        with pytest.raises(ValueError):
+            PieceCodec(str(path))
+
+
 @pytest.mark.parametrize("block_ids", [1, 64, 1 << 16])
 def test_token_dataset(spark, block_ids):
     docs = with_clashes(spark, ROWS)
