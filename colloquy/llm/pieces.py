@@ -245,8 +245,7 @@ class PieceCodec:
             self.older, self.units = self.units, {}
         known, older = self.units, self.older
         fresh = set().union(*cut).difference(known)
-        for u in fresh.intersection(older):
-            known[u] = older[u]
+        known.update([(u, older[u]) for u in fresh if u in older])
         fresh = list(fresh.difference(older))
         known.update(zip(fresh, self.encode_units(fresh), strict=True))
         found = [b"".join([known[u] for u in units]) for units in cut]
