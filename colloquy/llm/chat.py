@@ -92,9 +92,25 @@ def select_mapping(schema: T.StructType) -> Mapping:
 
 
 def json_paths(value: Column) -> Column:
-    """Those of PATHS that a parsed JSON row (VARIANT) has; array fields are looked for in the first element."""
-    there = [F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in PATHS]
-    return F.array_compact(F.array(*there))
+    """Those of PATHS that a parsed JSON row (VARIANT) has, null values too.
+
+    An array has a path if any element has it, or if there is no element that could.
+    """
+
+    def there(path: str) -> Column:
+        array, _, field = path.partition("[].")
+        if not field:
+            return F.try_variant_get(value, f"$.{path}", "variant").isNotNull()
+        found = F.try_variant_get(value, f"$.{array}", "array<variant>")
+        return F.coalesce((F.size(found) == 0) | F.exists(found, lambda e: F.try_variant_get(e, f"$.{field}", "variant").isNotNull()), F.lit(False))
+
+    return F.array_compact(F.array(*(F.when(there(p), F.lit(p)) for p in PATHS)))
+
+
+def json_text(value: Column, path: str) -> Column:
+    """The string at a path of a VARIANT; anything else but null as its JSON text."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.is_variant_null(found), F.lit(None)).otherwise(F.coalesce(F.try_variant_get(value, path, "string"), F.to_json(found)))
 
 
 def json_mapping(paths: Column) -> Column:
@@ -151,7 +167,9 @@ def canonical_turns_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame
     """Rows (id, layout, turns) of a column of JSON texts that may mix layouts.
 
     ``layout`` is the mapping's name; it and ``turns`` are null where no mapping fits or the text
-    is no JSON object, so that such rows can be counted and kept.
+    is no JSON object, so that such rows can be counted and kept. Null texts are empty turns, an
+    empty array has no turns, and a text that is an object or array is kept as JSON. Fields of
+    other layouts than the one selected are no turns.
     """
     parsed = df.select(F.col(id_col), F.try_parse_json(F.col(json_col)).alias("v"))
     read = parsed.withColumn("layout", json_mapping(json_paths(F.col("v"))))
@@ -162,8 +180,9 @@ def canonical_turns_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame
 
         def get(path: str, m: Mapping = mapping) -> Column:
             if path == m.many:
-                return F.try_variant_get("v", f"$.{path}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            return F.try_variant_get("v", f"$.{path}", "string")
+                each = F.try_variant_get("v", f"$.{path}", "array<variant>")
+                return F.transform(each, lambda e: F.struct(json_text(e, f"$.{m.role}").alias(m.role), json_text(e, f"$.{m.text}").alias(m.text)))
+            return json_text(F.col("v"), f"$.{path}")
 
         turns = F.when(F.col("layout") == mapping.name, mapped_turns(mapping, get)).otherwise(turns)
     return read.select(id_col, "layout", turns.alias("turns"))
@@ -196,6 +215,24 @@ def loss_runs(turns: Column) -> Column:
     return F.flatten(runs)
 
 
+def learned_text(formatted: Column, runs: Column) -> Column:
+    """All text of a formatted text under its loss mask, unescaped, nothing between.
+
+    A turn has three runs. The text is cut at the turns' starts first, so that places are
+    counted within a turn and the work stays in proportion to the text.
+    """
+    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
+
+    def learned(piece: Column, i: Column) -> Column:
+        before = [F.get(runs, 3 * i + k)["chars"] for k in range(3)]
+        at = [F.lit(1), before[0] - len(START) + 1, before[0] + before[1] - len(START) + 1]
+        chars = [before[0] - len(START), before[1], before[2]]
+        parts = (F.when(F.get(runs, 3 * i + k)["learn"], F.substring(piece, at[k], chars[k])).otherwise("") for k in range(3))
+        return unescape(F.concat(*parts))
+
+    return F.array_join(F.transform(pieces, learned), "")
+
+
 def parse_formatted(formatted: Column) -> Column:
     """The turns of a formatted text."""
     pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.chat import format_chats, parse_formatted
+from colloquy.llm.chat import format_chats, learned_text, parse_formatted
 from colloquy.llm.common import held_out, read_table
 from colloquy.llm.decontam import find_leaks
 from colloquy.llm.forest import nearest
@@ -32,9 +32,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text")
     )
     formatted = format_chats(rows.unionByName(hostile))
-    back = formatted.select("conv_id", "formatted", parse_formatted(F.col("formatted")).alias("turns"))
-    spoken = F.filter("turns", lambda t: t["role"] == "assistant")
-    learned = F.array_join(F.transform(spoken, lambda t: t["text"]), "")
+    learned = F.col("learned")
+    back = formatted.select("conv_id", "formatted", parse_formatted(F.col("formatted")).alias("turns"), learned_text(F.col("formatted"), F.col("loss_runs")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -110,9 +109,9 @@ ORACLES: dict[str, str] = {
         )
         SELECT conv_id,
             count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(24 + length(role) + length(regexp_replace(text, '<(!*)[|]', '<!\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,

@@ -36,7 +36,8 @@ ODD = st.text(alphabet="<|!>ims_tarend\n \\$é😀", max_size=40) | st.sampled_f
 def test_round_trip(spark, turns):
     df = spark.createDataFrame([(0, i, r, t) for i, (r, t) in enumerate(turns)], TURN_ROWS)
     one = C.format_chats(df)
-    row = one.select("formatted", "loss_runs", C.parse_formatted(F.col("formatted")).alias("turns")).first()
+    row = one.select("formatted", "loss_runs", C.parse_formatted(F.col("formatted")).alias("turns"), C.learned_text(F.col("formatted"), F.col("loss_runs")).alias("learned")).first()
+    assert row.learned == "".join(t for r, t in turns if r == "assistant")
     assert [(t.role, t.text) for t in row.turns] == turns
     assert row.formatted.count("<|im_start|>") == row.formatted.count("<|im_end|>") == len(turns)
     at, learned = 0, []
@@ -59,6 +60,15 @@ LAYOUTS = [
     ({"prompt": "p", "response": "c", "system": "s"}, "prompt and response", [("system", "s"), ("user", "p"), ("assistant", "c")]),
     ({"question": "q", "context": "c", "answer": "a"}, "question and answer", [("user", "c\n\nq"), ("assistant", "a")]),
     ({"question": "q", "answer": "a", "output": "stray"}, "question and answer", [("user", "q"), ("assistant", "a")]),
+    ({"messages": []}, "messages", []),
+    ({"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "a"}]}, "messages", [("user", ""), ("assistant", "a")]),
+    ({"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}, "messages", [("user", ""), ("assistant", "a")]),
+    ({"messages": [None, {"role": "user", "content": "q"}]}, "messages", [("", ""), ("user", "q")]),
+    ({"conversations": [], "system": "s"}, "from and value", [("system", "s")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text"}]}]}, "messages", [("user", '[{"type":"text"}]')]),
+    ({"prompt": "p", "completion": None}, "prompt and completion", [("user", "p"), ("assistant", "")]),
+    ({"instruction": "do", "input": None, "output": 7}, "instruction", [("user", "do"), ("assistant", "7")]),
+    ({"messages": "no array"}, None, None),
     ({"unknown": 1}, None, None),
     ("no object", None, None),
 ]
@@ -99,6 +109,19 @@ def test_query_digests(spark, tmp_path):
     assert got[-1].turns_sha256 == sha(f"user\n{HOSTILE}\nassistant\n{HOSTILE}\n") and got[-1].loss_chars == len(HOSTILE)
 
 
+def test_the_query_reads_the_mask(spark, tmp_path, monkeypatch):
+    from colloquy.llm.registry import op1_chat_format
+
+    spark.createDataFrame([(5, 0, "user", "question"), (5, 1, "assistant", "answer")], TURN_ROWS).write.parquet(str(tmp_path / "conversations.parquet"))
+    right = C.loss_runs
+
+    def all_texts(turns):  # a mask that learns users' texts too
+        return F.transform(right(turns), lambda r, i: F.struct(r["chars"].alias("chars"), (i % 3 == 1).alias("learn")))
+
+    monkeypatch.setattr(C, "loss_runs", all_texts)
+    assert {r.conv_id: r.loss_chars for r in op1_chat_format(spark, str(tmp_path)).collect()}[5] == len("questionanswer")
+
+
 def test_no_python_in_the_plan(spark):
     plan = C.format_chats(spark.createDataFrame([(1, 0, "user", "a")], TURN_ROWS))._jdf.queryExecution().optimizedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
