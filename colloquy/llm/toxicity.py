@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 20
@@ -126,23 +126,31 @@ def train(sample: list[tuple[int, str]], epochs: int = 6, alpha: float = 1.0, be
     return ToxicityModel(float(every[-1]), kept, every[kept])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN, most_chars: int = SAMPLE_CHARS, **options) -> ToxicityModel:
-    """Learn from a bounded sample of the labelled rows: whole texts, those of least hashed id of each label.
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int, most_chars: int) -> list[tuple[int, str]]:
+    """A bounded sample of the labelled documents: of each label those of least hashed id, short texts before long ones.
 
-    Only the ids and labels of the sample are joined to the documents, so no text is shuffled
-    but the sample's. Null or missing labels, ids and texts teach nothing; an id labelled more
-    than once counts once, as toxic if any of its labels is.
+    Labels are joined to the documents' ids before anything is chosen, so labels of other
+    documents take no place. Only ids are shuffled; the texts of the chosen ids are read after that.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
-    least = F.xxhash64("k")
-    chosen = known.where("label = 1").orderBy(least, "k").limit(2 * most_toxic).unionByName(known.where("label = 0").orderBy(least, "k").limit(2 * most_clean))
-    # At most 2 * (most_toxic + most_clean) rows of two numbers.
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = texts.join(F.broadcast(chosen), "k").select("k", "label", "text")
-    sample = []
-    for label, most in ((1, most_toxic), (0, most_clean)):
-        sample += [(r.label, r.text) for r in rows.where(F.col("label") == label).orderBy(least, "k", F.xxhash64("text")).limit(most).collect()]
-    return train(sample, **options)
+    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("k").isNotNull() & F.col("text").isNotNull())
+    ids = usable.groupBy("k").agg(F.min(F.length("text") > most_chars).alias("long")).join(known, "k")
+    ranked = Window.partitionBy("label").orderBy("long", F.xxhash64("k"), "k")
+    most = F.when(F.col("label") == 1, most_toxic).otherwise(most_clean)
+    chosen = ids.withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= max(most_toxic, most_clean)) & (F.col("rank") <= most)).select("k", "label")
+    # At most most_toxic + most_clean rows of two numbers; a repeated id counts once.
+    rows = usable.join(F.broadcast(chosen), "k").groupBy("k", "label").agg(F.min(F.substring("text", 1, most_chars)).alias("text"))
+    return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (-r.label, str(r.k)))]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN, most_chars: int = SAMPLE_CHARS, **options) -> ToxicityModel:
+    """Learn from a bounded sample of the labelled rows.
+
+    Texts of more than ``most_chars`` characters are learned from only where shorter ones are too
+    few, and then from as many of their first characters. Null or missing labels, ids and texts
+    teach nothing; an id labelled more than once counts once, as toxic if any of its labels is.
+    """
+    return train(training_sample(docs, labels, id_col, text_col, label_col, most_toxic, most_clean, most_chars), **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

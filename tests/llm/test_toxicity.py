@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import toxicity as X
 from tests.llm.helpers import none, with_clashes
@@ -85,6 +86,16 @@ def test_nulls_empty_and_repeated_rows(spark):
     assert X.score_toxicity(none(spark), m).count() == 0
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "vile trash talk" if i % 2 else "kind warm talk") for i in range(400)] + [(7, "vile trash talk")] * 50, "doc_id long, text string")
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    sample = X.training_sample(docs, labels, "doc_id", "text", "toxic", 150, 120, 1000)
+    assert sorted(label for label, _ in sample) == [0] * 120 + [1] * 150
+    assert all((label == 1) == text.startswith("vile") for label, text in sample)
+    few = X.training_sample(docs, labels.where("doc_id < 10"), "doc_id", "text", "toxic", 150, 120, 4)
+    assert sorted(few) == [(0, "kind")] * 5 + [(1, "vile")] * 5  # long texts only where there are no others
+
+
 def test_no_labels(spark):
     m = X.fit_toxicity(none(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert m.score(["anything"])[0] == 0.5
