@@ -22,6 +22,7 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ COUNTS = np.array([0, *(60 // BITS[1:])], np.int64)
 ESCAPE = 1 << 60
 BLOCK_IDS = 65_536
 #: Chunks, and words, that a worker keeps in each of two generations: the older one goes when the newer is full.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 300_000
+#: Bytes of texts that are encoded together.
+SLICE_BYTES = 4_000_000
 
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, counts array<long>, n_ids long, words binary, escape_at array<long>, escapes array<long>"
 
@@ -170,12 +173,29 @@ class ChunkTokenizer:
             return b"".join([words[w] for w in self.WORDS.findall(chunk.lower())])
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and how many each text has; null texts have none.
+
+        Arrow cuts the texts and numbers the distinct chunks, so Python sees each of these once.
+        """
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        chunk, chunks = coded.indices.to_numpy(), self.chunks
+        known = [chunks[c] for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.array([len(k) for k in known], np.int64) // 4
+        data, many = np.frombuffer(b"".join(known), "<u4"), size[chunk]
+        shift = (np.cumsum(size) - size)[chunk] - (np.cumsum(many) - many)
+        ids = data[np.arange(many.sum()) + np.repeat(shift, many)]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        return ids, np.diff(upto[np.cumsum([0, *pc.list_value_length(cut).to_pylist()])])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if not self.by_words:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        chunks = self.chunks
-        return [b"".join([chunks[c] for c in t.replace("\n", " ").split(" ")]) for t in texts]
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -184,6 +204,16 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return _tokenizers[path]
 
 
+def row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts come to SLICE_BYTES at most, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        stop = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(i, stop - i)
+        i = stop
+
+
 def write_tokens(docs: DataFrame, path: str, model: str = "word_bpe_49k.json", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, append ``end_id`` to each, and write the blocks in ascending id order.
 
@@ -195,24 +225,23 @@ def write_tokens(docs: DataFrame, path: str, model: str = "word_bpe_49k.json", e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(public_tokenizers.path(model))
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         ids, held, gathered = [], [], 0
 
         def full() -> pa.RecordBatch:
             nonlocal block, before, ids, held, gathered
-            words, at, escapes = pack(np.frombuffer(b"".join(held), "<u4"))
-            counts = [len(h) // 4 for h in held]
-            row = {"part": part, "block": block, "before": before, "doc_ids": ids, "counts": counts, "n_ids": gathered, "words": words.astype("<u8").tobytes(), "escape_at": at.tolist(), "escapes": escapes.tolist()}
+            words, at, escapes = pack(np.concatenate(held))
+            row = {"part": part, "block": block, "before": before, "doc_ids": ids, "counts": [len(h) for h in held], "n_ids": gathered, "words": words.astype("<u8").tobytes(), "escape_at": at.tolist(), "escapes": escapes.tolist()}
             block, before, ids, held, gathered = block + 1, before + gathered, [], [], 0
             return pa.RecordBatch.from_pylist([row], arrow_schema)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                for doc_id, found in zip(doc_ids[i : i + 500], own.ids([t or "" for t in texts[i : i + 500]]), strict=True):
+            for rows in row_slices(batch):
+                found, counts = own.encode(rows.column(1))
+                ended = np.split(np.insert(found, np.cumsum(counts), end_id), np.cumsum(counts + 1)[:-1])
+                for doc_id, own_ids in zip(rows.column(0).to_pylist(), ended, strict=True):
                     ids.append(doc_id)
-                    held.append(found + end)
-                    gathered += len(found) // 4 + 1
+                    held.append(own_ids)
+                    gathered += len(own_ids)
                     if gathered >= block_ids:
                         yield full()
         if ids:
