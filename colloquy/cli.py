@@ -40,7 +40,7 @@ def parse(spark: SparkSession, path: str) -> str:
 
 
 def run_extraction(spark: SparkSession, path: str, profile: str, provider: Provider, out: str = "insights.json", cache: str | None = None) -> str:
-    result = extract(read_parsed(spark, path), PROFILES[profile], provider, cache or f"{shared_dir(spark)}/answers", path)
+    result = extract(read_parsed(spark, path), PROFILES[profile], provider, cache or f"{shared_dir(spark)}/answers", path, progress=lambda came_out: print("Chunks so far:", came_out))
     write_insights(result, out)
     for row in result.errors.toLocalIterator():
         print(f"chunk {row['chunk_no']} of {row['fname']}: {row['error']}: {row['answer']}")

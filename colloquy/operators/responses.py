@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.text import strip
 from colloquy.operators.ordering import global_positions
@@ -29,16 +32,31 @@ def parsed(raw: Column) -> Column:
     return F.try_parse_json(unfenced(raw))
 
 
+@F.pandas_udf(T.StringType())
+def strict_json(text: pd.Series) -> pd.Series:
+    """The text's JSON written anew, null if it is none: of equal keys the last counts, NaN and infinities become null, nothing may follow."""
+
+    def read(one: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(one or "", parse_constant=lambda _: None), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(read)
+
+
 def is_object(value: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT<")), F.lit(False))
 
 
-def answers(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
+def answers(responses: DataFrame, raw_col: str = "raw", strict: bool = False) -> DataFrame:
     """With ``v`` (null if unusable) and ``error``: not_json, not_object or null.
 
-    An answer that is JSON but no object counts as unusable instead of ending the run.
+    An answer that is JSON but no object counts as unusable instead of ending the run. ``strict``
+    refuses text after the JSON and takes repeated keys and NaN, at the price of Python for each answer.
     """
-    read = responses.withColumn("v", parsed(F.col(raw_col)))
+    raw = F.col(raw_col)
+    read = responses.withColumn("v", F.try_parse_json(strict_json(unfenced(raw))) if strict else parsed(raw))
     error = F.when(F.col("v").isNull(), "not_json").when(~is_object(F.col("v")), "not_object")
     return read.withColumn("error", error).withColumn("v", F.when(F.col("error").isNull(), F.col("v")))
 

@@ -1,9 +1,10 @@
 """Calling a model for every chunk, once.
 
-A model is slow, costs money and answers differently each time, so no Spark retry or second
-use of a plan may call it again. Chunks are keyed by what is asked; answers are appended to a
-table in a shared folder and read back before anything is done with them. A later run asks
-only for what that table lacks.
+A model is slow, costs money and answers differently each time, so what was paid for is kept.
+Chunks are keyed by what is asked; they are asked in waves, each of which appends its answers to
+a table in a shared folder, and the table is read back before anything is done with them. A call
+that fails is a row with its reason, whatever the failure; a wave whose worker dies loses that
+wave's answers at most. A later run asks only for what the table lacks or has as failed.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ from datetime import datetime, timezone
 from typing import Protocol
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import responses
 from colloquy.operators.chunks import CHUNK_SIZE, prompts
 from colloquy.plans.profiles import Profile
+from colloquy.sources.shared import materialise
 
-CACHE = "chunk_key string, raw string, status string, attempts int"
+CACHE = "chunk_key string, raw string, status string, attempts int, reason string, at timestamp"
+#: Chunks of one wave.
+WAVE = 256
 
 
 class ServerError(Exception):
@@ -94,6 +99,58 @@ class HttpProvider:
         return call
 
 
+@dataclass
+class MessagesProvider:
+    """The messages interface of the ``anthropic`` client, which is imported where the call is made. Not tried: no network."""
+
+    key_variable: str
+
+    def connect(self) -> Callable[[Profile, str], str]:
+        import os
+
+        import anthropic
+
+        client = anthropic.Anthropic(api_key=os.environ[self.key_variable], max_retries=0)
+
+        def call(profile: Profile, prompt: str) -> str:
+            try:
+                answer = client.messages.create(model=profile.model, max_tokens=profile.max_tokens or 4096, system=profile.system, messages=[{"role": "user", "content": prompt}])
+            except anthropic.APIStatusError as e:
+                if e.status_code >= 500:
+                    raise ServerError(str(e)) from e
+                raise
+            return answer.content[0].text
+
+        return call
+
+
+@dataclass
+class ContentProvider:
+    """The content interface of the ``google.genai`` client, which is imported where the call is made. Not tried: no network."""
+
+    key_variable: str
+
+    def connect(self) -> Callable[[Profile, str], str]:
+        import os
+
+        from google import genai
+
+        client = genai.Client(api_key=os.environ[self.key_variable])
+
+        def call(profile: Profile, prompt: str) -> str:
+            settings = {"system_instruction": profile.system}
+            if profile.json_only:
+                settings["response_mime_type"] = "application/json"
+            if profile.max_tokens:
+                settings["max_output_tokens"] = profile.max_tokens
+            try:
+                return client.models.generate_content(model=profile.model, contents=prompt, config=settings).text
+            except genai.errors.ServerError as e:
+                raise ServerError(str(e)) from e
+
+        return call
+
+
 def require_key(variable: str, environment: dict[str, str]) -> None:
     """Ends the program with code 1 if the key isn't set."""
     if variable not in environment:
@@ -101,15 +158,29 @@ def require_key(variable: str, environment: dict[str, str]) -> None:
         raise SystemExit(1)
 
 
-def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str, int]:
-    """(answer, status, attempts). Server errors are tried again after 2, 4, 8... seconds, as often as the profile says."""
+def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str, int, str | None]:
+    """(answer, status, attempts, reason): answered, gave_up or failed.
+
+    Server errors are tried again after 2, 4, 8... seconds, as often as the profile says. Any other
+    error, and an answer that is no text, fails the chunk at once, and no other one.
+    """
+    reason = None
     for attempt in range(1, profile.retries + 1):
         try:
-            return call(profile, prompt), "answered", attempt
-        except ServerError:
+            found = call(profile, prompt)
+        except ServerError as e:
+            reason = described(e)
             if attempt < profile.retries:
                 sleep(2**attempt)
-    return None, "gave_up", profile.retries
+        except Exception as e:  # of any client library: one chunk's failure is not the others'
+            return None, "failed", attempt, described(e)
+        else:
+            return (found, "answered", attempt, None) if isinstance(found, str) else (None, "failed", attempt, "the answer holds no text")
+    return None, "gave_up", profile.retries, reason
+
+
+def described(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:500]
 
 
 def cached(spark: SparkSession, path: str) -> DataFrame:
@@ -121,26 +192,51 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def answered(chunks: DataFrame, profile: Profile, provider: Provider, cache_path: str, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Chunks with raw answer, status and attempts; equal prompts are asked once.
-
-    At most ``concurrency`` calls run at a time. What was given up is asked again by the next run.
+def answered(
+    chunks: DataFrame,
+    profile: Profile,
+    provider: Provider,
+    cache_path: str,
+    concurrency: int = 8,
+    sleep: Callable[[float], None] = time.sleep,
+    wave: int = WAVE,
+    progress: Callable[[dict[str, int]], None] | None = None,
+) -> DataFrame:
+    """Chunks with raw answer, status, attempts and reason; equal prompts are asked once.
+
+    At most ``concurrency`` calls run at a time. ``progress`` hears after each wave how many chunks
+    were asked and how many came out how. Chunks of a wave that was lost have the status ``lost``.
     """
     spark = chunks.sparkSession
-    keyed = chunks.withColumn("chunk_key", F.sha2(F.concat_ws("\x00", F.lit(profile.name), F.lit(profile.model), F.col("prompt")), 256))
+    asked_with = [F.lit(x) for x in (profile.name, profile.model, profile.system, str(profile.max_tokens), str(profile.json_only))]
+    keyed = materialise(chunks.withColumn("chunk_key", F.sha2(F.concat_ws("\x00", *asked_with, F.col("prompt")), 256)))
     known = cached(spark, cache_path).where("status = 'answered'").select("chunk_key")
-    todo = keyed.select("chunk_key", "prompt").dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left_anti")
+    todo = materialise(keyed.select("chunk_key", "prompt").dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left_anti"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
         for frame in frames:
             call = call or provider.connect()
-            found = [(key, *ask(call, profile, prompt, sleep)) for key, prompt in zip(frame["chunk_key"], frame["prompt"], strict=True)]
-            yield pd.DataFrame(found, columns=["chunk_key", "raw", "status", "attempts"])
-
-    todo.repartition(concurrency).mapInPandas(run, CACHE).write.mode("append").parquet(cache_path)
-    latest = cached(spark, cache_path).groupBy("chunk_key").agg(F.max_by(F.struct("raw", "status", "attempts"), F.col("status") == "answered").alias("a"))
-    return keyed.join(latest, "chunk_key", "left").select(*keyed.columns, "a.raw", "a.status", "a.attempts")
+            found = [(key, *ask(call, profile, prompt, sleep), pd.Timestamp.now()) for key, prompt in zip(frame["chunk_key"], frame["prompt"], strict=True)]
+            yield pd.DataFrame(found, columns=["chunk_key", "raw", "status", "attempts", "reason", "at"])
+
+    waves = -(-todo.count() // wave)
+    mine = F.pmod(F.xxhash64("chunk_key"), F.lit(max(1, waves)))
+    lost = {}
+    for k in range(waves):
+        part = todo.where(mine == k)
+        try:
+            part.repartition(concurrency).mapInPandas(run, CACHE).write.mode("append").parquet(cache_path)
+        except (PySparkException, Py4JError) as e:
+            lost[k] = described(e)
+        if progress:
+            came_out = cached(spark, cache_path).join(todo.where(mine <= k).select("chunk_key"), "chunk_key", "left_semi")
+            progress({r["status"]: r["n"] for r in came_out.groupBy("status").agg(F.countDistinct("chunk_key").alias("n")).collect()})
+    newest = F.max_by(F.struct("raw", "status", "attempts", "reason"), F.struct(F.col("status") == "answered", "at"))
+    latest = cached(spark, cache_path).groupBy("chunk_key").agg(newest.alias("a"))
+    gone = F.coalesce(*(F.when(mine == k, reason) for k, reason in lost.items()), F.lit("no answer was kept"))
+    found = keyed.join(latest, "chunk_key", "left")
+    return found.select(*keyed.columns, "a.raw", F.coalesce("a.status", F.lit("lost")).alias("status"), "a.attempts", F.when(F.col("a.status").isNull(), gone).otherwise(F.col("a.reason")).alias("reason"))
 
 
 def now() -> str:
@@ -165,17 +261,22 @@ class Extraction:
             rows = ordered.where(F.col("list") == name).orderBy("position").select(F.to_json("entry").alias("e"))
             yield name, (r["e"] for r in rows.toLocalIterator())
 
+    def rows(self) -> DataFrame:
+        """The result as rows (list, position, entry), entries as JSON texts: for a sink that many tasks write."""
+        return responses.merged(self.entries, ["src", "fname", "chunk_no"]).select("list", "position", F.to_json("entry").alias("entry"))
+
     def meta(self) -> dict:
         return {"source_file": self.source, "total_messages_analyzed": self.total_messages, "generated_at": self.generated_at, "model": self.profile.model}
 
 
-def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_path: str, source: str, size: int = CHUNK_SIZE, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> Extraction:
+def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_path: str, source: str, size: int = CHUNK_SIZE, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep, wave: int = WAVE, progress: Callable[[dict[str, int]], None] | None = None) -> Extraction:
     """Chunk, ask, read and merge. Messages whose chunk failed still count as analysed."""
     keys = ["src", "fname", "chunk_no"]
     chunks = prompts(messages, profile, size=size)
-    read = responses.answers(answered(chunks, profile, provider, cache_path, concurrency, sleep))
+    read = responses.answers(answered(chunks, profile, provider, cache_path, concurrency, sleep, wave, progress), strict=True)
     found = responses.entries(read, profile, keys)
-    failed = read.withColumn("error", F.when(F.col("status") != "answered", F.col("status")).otherwise(F.col("error")))
+    unanswered = F.col("status") != "answered"
+    failed = read.withColumn("error", F.when(unanswered, F.col("status")).otherwise(F.col("error"))).withColumn("raw", F.when(unanswered, F.col("reason")).otherwise(F.col("raw")))
     return Extraction(found, responses.errors(failed, keys), messages.count(), profile, source, now())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ class Profile:
     name: str
     model: str
     system: str
-    schema: str
+    notes: str
     lists: tuple[tuple[str, str], ...]
     retries: int
     max_tokens: int | None = None
@@ -25,13 +26,16 @@ class Profile:
     def keys(self) -> list[str]:
         return [k for k, _ in self.lists]
 
+    @property
+    def schema(self) -> str:
+        """The answer's shape, made from the lists and their fields, then the notes."""
+        shape = {name: [{field: None if kind == "double" else "" for field, kind in (f.rsplit(" ", 1) for f in fields.split(", "))}] for name, fields in self.lists}
+        return json.dumps(shape) + "\n" + self.notes
+
     def prompt(self, chat: Column) -> Column:
         head = "The chat to analyse follows.\n\n--- CHAT START ---\n"
         return F.concat(F.lit(head), chat, F.lit("\n--- CHAT END ---\n\n" + self.schema))
 
-    def empty(self) -> dict[str, list]:
-        return {k: [] for k in self.keys}
-
 
 _RULES = "Answer with one valid JSON object of the shape given and nothing else. Use only what the chat says."
 
@@ -40,8 +44,7 @@ ITEMS = Profile(
     name="items",
     model="items-model",
     system="You list every item that a shop's customers and staff mention in a chat, one entry for each mention. " + _RULES,
-    schema='{"items": [{"item_name": "", "quantity": null, "quantity_unit": "", "date": "", "timestamp": "", "description": ""}]}\n'
-    "quantity is a number or null; date and timestamp are written as in the chat; an unknown text is empty.",
+    notes="quantity is a number or null; date and timestamp are written as in the chat; an unknown text is empty.",
     lists=(("items", "item_name string, quantity double, quantity_unit string, date string, timestamp string, description string"),),
     retries=4,
     json_only=True,
@@ -50,8 +53,8 @@ INSIGHTS = Profile(
     name="insights",
     model="insights-model",
     system="You summarise what a shop can learn from a chat with its customers. " + _RULES,
-    schema="status is order or lead; severity and priority are low, medium or high; owner is shop or customer; "
-    "sentiment is positive, neutral, negative or mixed; amount_numeric is a number or null.",
+    notes="status is order or lead; severity and priority are low, medium or high; owner is shop or customer; "
+    "sentiment is positive, neutral, negative or mixed; amount_numeric is a number or null; a list of which the chat says nothing is empty.",
     lists=(
         ("customer_enquiries", "customer string, enquiry string"),
         ("products_services_discussed", "item string, context string"),

@@ -17,7 +17,7 @@ from colloquy.functions.text import strip
 from colloquy.operators import messages as M
 from colloquy.operators import responses as R
 from colloquy.operators.chunks import chunked, prompts
-from colloquy.plans.profiles import ITEMS
+from colloquy.plans.profiles import INSIGHTS, ITEMS, Profile
 from colloquy.sources.exports import stem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,11 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("fname").cast("long").alias("user_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "n_messages", "prompt")
 
 
+def render_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prompts(event_messages(spark, sf_dir), INSIGHTS)
+    return found.select(F.col("fname").cast("long").alias("user_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "n_messages", "prompt")
+
+
 def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 4
     raw = (
@@ -208,7 +213,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         message_counts, line_scan, header_capture, continuation_fold, system_filter, clean_messages, orphan_drop, customer_tag, keep_empty_customers,
-        nest_messages, total_counts, chunking, render_prompt, fence_strip, json_fallback, merge_concat, typed_items, first_message, error_prefix, meta_row,
+        nest_messages, total_counts, chunking, render_prompt, render_insights, fence_strip, json_fallback, merge_concat, typed_items, first_message, error_prefix, meta_row,
     )
 }
 
@@ -233,6 +238,16 @@ _ANSWERS = """answers AS (
     ),
     items AS (SELECT *, unnest([0, 1]) AS pos FROM answers WHERE kind > 3)"""
 
+
+def _prompt_sql(profile: Profile) -> str:
+    return f"""WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 80 AS chunk_no FROM events)
+        SELECT CAST(user_id AS BIGINT) AS user_id, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n_messages,
+            'The chat to analyse follows.' || chr(10) || chr(10) || '--- CHAT START ---' || chr(10)
+            || string_agg('[' || strftime(ts, '%d/%m/%y') || ' ' || strftime(ts, '%H:%M') || '] ' || event_type || ': ' || props, chr(10) ORDER BY event_id)
+            || chr(10) || '--- CHAT END ---' || chr(10) || chr(10) || '{profile.schema.replace(chr(10), "' || chr(10) || '")}' AS prompt
+        FROM e GROUP BY user_id, chunk_no"""
+
+
 ORACLES: dict[str, str] = {
     "line_scan": f"""WITH {_TURNS},
         split AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM t),
@@ -262,12 +277,8 @@ ORACLES: dict[str, str] = {
     "chunking": """WITH e AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 80 AS chunk_no FROM events)
         SELECT CAST(user_id AS BIGINT) AS user_id, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n_messages, min(event_id) AS first_event, max(event_id) AS last_event
         FROM e GROUP BY user_id, chunk_no""",
-    "render_prompt": f"""WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 80 AS chunk_no FROM events)
-        SELECT CAST(user_id AS BIGINT) AS user_id, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n_messages,
-            'The chat to analyse follows.' || chr(10) || chr(10) || '--- CHAT START ---' || chr(10)
-            || string_agg('[' || strftime(ts, '%d/%m/%y') || ' ' || strftime(ts, '%H:%M') || '] ' || event_type || ': ' || props, chr(10) ORDER BY event_id)
-            || chr(10) || '--- CHAT END ---' || chr(10) || chr(10) || '{ITEMS.schema.replace(chr(10), "' || chr(10) || '")}' AS prompt
-        FROM e GROUP BY user_id, chunk_no""",
+    "render_prompt": _prompt_sql(ITEMS),
+    "render_insights": _prompt_sql(INSIGHTS),
     "fence_strip": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'Here: ```' || props || '```' ELSE trim(props) END AS answer FROM events""",
     "json_fallback": f"""WITH {_ANSWERS}
         SELECT chunk_no, CASE kind WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_object' ELSE 'none' END AS error, CAST(CASE WHEN kind > 3 THEN 2 ELSE 0 END AS BIGINT) AS n_items FROM answers""",

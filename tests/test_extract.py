@@ -1,6 +1,9 @@
+import dataclasses
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from colloquy import cli
@@ -86,9 +89,9 @@ def test_server_errors_only_are_tried_again():
         calls.append(prompt)
         raise ServerError
 
-    assert ask(failing, ITEMS, "p", waits.append) == (None, "gave_up", 4)
+    assert ask(failing, ITEMS, "p", waits.append)[:3] == (None, "gave_up", 4)
     assert waits == [2, 4, 8]
-    assert ask(failing, INSIGHTS, "p", waits.append) == (None, "gave_up", 1) and len(waits) == 3
+    assert ask(failing, INSIGHTS, "p", waits.append)[:3] == (None, "gave_up", 1) and len(waits) == 3
     outcomes = iter([ServerError(), "x"])
 
     def second(profile, prompt):
@@ -97,9 +100,9 @@ def test_server_errors_only_are_tried_again():
             raise found
         return found
 
-    assert ask(second, ITEMS, "p", waits.append) == ("x", "answered", 2)
-    with pytest.raises(ValueError):
-        ask(lambda *_: (_ for _ in ()).throw(ValueError()), ITEMS, "p", waits.append)
+    assert ask(second, ITEMS, "p", waits.append) == ("x", "answered", 2, None)
+    assert ask(lambda *_: (_ for _ in ()).throw(ValueError("bad")), ITEMS, "p", waits.append) == (None, "failed", 1, "ValueError: bad")
+    assert ask(lambda *_: None, ITEMS, "p", waits.append)[:2] == (None, "failed")
 
 
 def item(name):
@@ -130,6 +133,77 @@ def test_a_second_run_asks_for_what_failed_only(spark, tmp_path):
     assert {r.fname: r.raw for r in second.collect()} == {"c0": item("x"), "c1": item("y")}
 
 
+class Faulty:
+    """Times out, is refused or kills its worker for some prompts; counts its calls by a file for each."""
+
+    def __init__(self, folder, deadly=""):
+        self.folder, self.deadly = str(folder), deadly
+
+    def connect(self):
+        def call(profile, prompt):
+            import os
+            import urllib.error
+            import uuid
+
+            open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+            if "c1 m0" in prompt:
+                raise TimeoutError("too slow")
+            if "c2 m0" in prompt:
+                raise urllib.error.HTTPError("u", 400, "refused", None, None)
+            if self.deadly and self.deadly in prompt:
+                os._exit(1)
+            return '{"items": [{"item_name": "x"}]}'
+
+        return call
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
+
+
+def test_one_failure_costs_no_other_answer(spark, tmp_path):
+    calls, cache = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+    heard = []
+    result = extract(messages(spark, *[1] * 6), ITEMS, Faulty(calls), cache, "x", concurrency=2, sleep=nap, wave=2, progress=heard.append)
+    assert {r.fname: (r.error, r.answer) for r in result.errors.collect()} == {"c1": ("failed", "TimeoutError: too slow"), "c2": ("failed", "HTTPError: HTTP Error 400: refused")}
+    assert result.entries.count() == 4 and len(list(calls.iterdir())) == 6 and heard[-1] == {"answered": 4, "failed": 2}
+    again = extract(messages(spark, *[1] * 6), ITEMS, ReplayProvider(default=item("y")), cache, "x", sleep=nap)
+    assert again.errors.count() == 0 and sorted(r[0] for r in again.rows().select(F.get_json_object("entry", "$.item_name")).collect()) == ["x"] * 4 + ["y"] * 2
+
+
+def test_a_dead_worker_loses_its_wave_at_most(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    result = extract(messages(spark, *[1] * 6), ITEMS, Faulty(calls, "c4 m0"), str(tmp_path / "cache"), "x", concurrency=1, sleep=nap, wave=1)
+    errors = {r.fname: r.error for r in result.errors.collect()}
+    assert errors["c4"] == "lost" and {errors["c1"], errors["c2"]} <= {"failed", "lost"}
+    assert result.entries.count() + len(errors) == 6 and result.entries.count() >= 1
+
+
+def test_the_key_of_an_answer_is_all_that_is_asked(spark, tmp_path):
+    chunks, cache = C.prompts(messages(spark, 1), ITEMS), str(tmp_path / "cache")
+    answered(chunks, ITEMS, ReplayProvider(default=item("x")), cache, 1, nap)
+    other = dataclasses.replace(ITEMS, system="Something else.")
+    assert answered(chunks, other, ReplayProvider(default=item("y")), cache, 1, nap).first().raw == item("y")
+    assert answered(chunks, ITEMS, ReplayProvider(default=item("z")), cache, 1, nap).first().raw == item("x")
+
+
+def test_every_list_and_field_is_in_the_prompt(spark):
+    for profile in (ITEMS, INSIGHTS):
+        prompt = C.prompts(messages(spark, 1), profile).first().prompt
+        shape = json.loads(prompt.split("--- CHAT END ---")[1].strip().split("\n")[0])
+        assert list(shape) == profile.keys
+        assert {k: list(v[0]) for k, v in shape.items()} == {k: [f.split(" ")[0] for f in fields.split(", ")] for k, fields in profile.lists}
+
+
+def test_strict_answers(spark):
+    rows = ['{"items": [1], "items": [2, 3]}', '{"items": [NaN]} ', '{"items": []} and more', "[1]", "", None, "```json\n{}\n```"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")
+    got = {r.i: (r.error, r.n) for r in R.answers(df, strict=True).select("i", "error", F.size(F.try_variant_get("v", "$.items", "array<variant>")).alias("n")).collect()}
+    assert [got[k][0] for k in range(7)] == [None, None, "not_json", "not_object", "not_json", "not_json", None]
+    assert got[0][1] == 2 and got[1][1] == 1
+
+
 def test_insights_profile_has_nine_lists_in_order(spark, tmp_path):
     provider = ReplayProvider(default='{"action_items": [{"action": "call"}], "customer_enquiries": [{"customer": "A"}]}')
     result = extract(messages(spark, 2), INSIGHTS, provider, str(tmp_path / "c"), "x", sleep=nap)
