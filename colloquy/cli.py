@@ -12,7 +12,7 @@ from colloquy.plans.extract import HttpProvider, Provider, extract, require_key,
 from colloquy.plans.profiles import PROFILES
 from colloquy.sources.exports import is_zip, read_export
 from colloquy.sources.parsed import parsed_path, read_parsed, write_parsed
-from colloquy.sources.shared import shared_dir
+from colloquy.sources.shared import clear_scratch, shared_dir
 
 KEY = "COLLOQUY_API_KEY"
 
@@ -44,6 +44,7 @@ def run_extraction(spark: SparkSession, path: str, profile: str, provider: Provi
     write_insights(result, out)
     for row in result.errors.toLocalIterator():
         print(f"chunk {row['chunk_no']} of {row['fname']}: {row['error']}: {row['answer']}")
+    clear_scratch(spark)
     print(f"Saved to {out}")
     return out
 

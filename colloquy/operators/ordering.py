@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.sources.shared import materialise
 
 
-def global_positions(df: DataFrame, order: Sequence[str], within: str) -> DataFrame:
-    """With ``position`` from 0: the row's place among those of equal ``within``, in the order given.
+def global_positions(df: DataFrame, groups: Sequence[str], pos: str) -> DataFrame:
+    """With ``position`` from 0: the row's place among those of its first group column, in order of the others and ``pos``.
 
-    Rows are range partitioned once and written; counts by (partition, within) give each
-    partition's first places. The order has to begin with ``within``.
+    The rows are written once and never sorted as a whole: only the groups' sizes are range
+    partitioned, and totals by partition give each group's first place. Rows of one group, such as
+    the entries of one answer, are numbered together; of equal ``pos`` either may come first.
     """
+    within, written = groups[0], materialise(df)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy(within, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(within, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(within, "_part").orderBy(*order))
-    placed = ranged.withColumn("_inside", inside).join(starts, [within, "_part"])
-    return placed.withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_part", "_before", "_inside")
+    sizes = written.groupBy(*groups).agg(F.count("*").alias("_rows"))
+    ranged = materialise(sizes.repartitionByRange(parts, *groups).withColumn("_part", F.spark_partition_id()))
+
+    def before(rows: str, *by: str) -> Column:
+        window = Window.partitionBy(*by[:-1]).orderBy(*(groups if by[-1] == "groups" else by[-1:])).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(rows).over(window), F.lit(0))
+
+    totals = ranged.groupBy(within, "_part").agg(F.sum("_rows").alias("_rows"))
+    firsts = totals.select(within, "_part", before("_rows", within, "_part").alias("_first"))
+    inside = ranged.withColumn("_start", before("_rows", within, "_part", "groups"))
+    starts = inside.join(firsts, [within, "_part"]).select(*groups, (F.col("_first") + F.col("_start")).alias("_before"))
+    numbered = written.withColumn("_inside", F.row_number().over(Window.partitionBy(*groups).orderBy(pos)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups]
+    placed = numbered.alias("a").join(starts.alias("b"), same)
+    return placed.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("b._before") + F.col("a._inside") - 1).alias("position"))

@@ -79,10 +79,9 @@ def entries(answered: DataFrame, profile: Profile, keys: Sequence[str]) -> DataF
 def merged(found: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows (list, position, entry): all entries of a list in order of customer, chunk and place, nothing removed.
 
-    Positions come from per-partition totals of a range partitioning, so no list goes through one task.
+    An answer's first position comes from the sizes of those before it, so no list goes through one task.
     """
-    keys = ["list", *order, "pos"]
-    return global_positions(found, keys, within="list").select("list", "position", "entry")
+    return global_positions(found, ["list", *order], "pos").select("list", "position", "entry")
 
 
 def typed(found: DataFrame, profile: Profile, name: str, keys: Sequence[str]) -> DataFrame:

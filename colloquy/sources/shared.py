@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Local folders of sessions without a shared one, by application: for tests on one machine.
 _local: dict[str, str] = {}
+#: Paths handed out, by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, kind: str = "colloquy") -> str:
+    """A new path in the shared folder, which ``clear_scratch`` removes."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/colloquy-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove all tables that this application's jobs wrote to cut their lineage; returns how many.
+
+    For the end of a run, when its results are written: tables made from them can't be read any more.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -273,3 +273,14 @@ def test_views(spark, tmp_path):
     views.register_extraction(result)
     assert spark.sql("SELECT item_name, quantity FROM items").collect() == [("rice", 5.0)]
     assert spark.sql("SELECT count(*) FROM insights").first()[0] == 1
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from colloquy.sources.shared import clear_scratch, materialise, shared_dir
+
+    clear_scratch(spark)
+    before = set(os.listdir(shared_dir(spark)))
+    assert materialise(spark.range(3)).count() == 3 and set(os.listdir(shared_dir(spark))) > before
+    assert clear_scratch(spark) == 1 and set(os.listdir(shared_dir(spark))) == before
