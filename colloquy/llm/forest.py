@@ -21,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import materialise
+
 BLOCK_ROWS = 8192
-QUERY_ROWS = 4096
+#: Queries that meet a block at a time: the rows are copied for as many groups, and there are no more of them than memory asks for.
+QUERY_ROWS = 16_384
 TREES = 128
 BITS = 32
 #: Share of a block that a query's candidates come to. Nearly orthogonal neighbours need so many.
@@ -119,6 +122,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     # The limit for each vector is applied before the shuffle too, so a common vector is no burden.
     smallest = Window.partitionBy("vector").orderBy("id")
     entries = usable.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = materialise(entries)  # counted and dealt out: two uses
     queries = usable.where(F.col("id") % every == 0)
     blocks, groups = (max(1, math.ceil(df.count() / most)) for df, most in ((entries, block_rows), (queries, QUERY_ROWS)))
     every_block, every_group = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, groups))
