@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import shared_dir
+from colloquy.llm.common import scratch_path
 
 #: Bits an id for selectors 1 to 14; a word of b bits each holds 60 // b ids. Selector 0 is not used.
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -293,6 +292,6 @@ def read_tokens(spark, path: str, keep_ids: bool = True) -> DataFrame:
 
 def token_dataset(docs: DataFrame, path: str | None = None, **options) -> str:
     """Write the dataset, in the shared folder if no path is given, and return where it is."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)
     return path

@@ -94,10 +94,14 @@ def test_simple8b_is_compact():
 WORDY = st.text(alphabet="aabtTHé É 'sremv019.,!?<|>\n\t\xa0\x1ćΣİßﬁ日😀", max_size=40) | st.sampled_from(["<|endoftext|>", "don't WE'LL", "a<|startoftext|>b", "ΑΣ ΑΣ.", "x\r\ny"])
 
 
+@pytest.fixture(scope="module")
+def own():
+    return ChunkTokenizer(WORD, kept=20)
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.lists(WORDY, min_size=1, max_size=4))
-def test_chunked_words_are_the_librarys(texts):
-    own = ChunkTokenizer(WORD, kept=20)
+def test_chunked_words_are_the_librarys(own, texts):
     for text in (*texts, " ".join(texts)):
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == TK.encode(text, add_special_tokens=False).ids
 
