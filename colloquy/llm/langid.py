@@ -237,15 +237,19 @@ class LanguageModel:
         return counts, np.concatenate(found), np.concatenate(places)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        counts, probabilities, _ = self.label(texts)
-        sums = np.zeros((len(texts), len(self.langs)))
-        has = counts > 0
-        if has.any():
-            sums[has] = np.add.reduceat(probabilities, (np.cumsum(counts) - counts)[has], axis=0)
-        means = sums / np.maximum(counts, 1)[:, None]
-        best = means.argmax(axis=1) if len(self.langs) else np.zeros(len(texts), int)
-        langs = [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-        return langs, [min(1.0, float(m[b])) if h else 0.0 for m, b, h in zip(means, best, has, strict=True)]
+        """The language and score of each text, from as many texts at a time as fit a slice, one at least."""
+        langs, scores = [], []
+        for i, stop in slices(texts, SLICE_CHARS * FULL_LANGS // max(FULL_LANGS, len(self.langs))):
+            counts, probabilities, _ = self.label(texts[i:stop])
+            sums = np.zeros((stop - i, len(self.langs)))
+            has = counts > 0
+            if has.any():
+                sums[has] = np.add.reduceat(probabilities, (np.cumsum(counts) - counts)[has], axis=0)
+            means = sums / np.maximum(counts, 1)[:, None]
+            best = means.argmax(axis=1) if len(self.langs) else np.zeros(stop - i, int)
+            langs += [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
+            scores += [min(1.0, float(m[b])) if h else 0.0 for m, b, h in zip(means, best, has, strict=True)]
+        return langs, scores
 
 
 def training_sample(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -388,7 +392,8 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     ``spans=True`` adds ``spans``: runs of words of one most likely language, as (lang, start, end)
     in characters. ``und`` with score 0 stands for texts that are null, empty or without a letter,
     and for all texts if the model knows no language. Map-only: repeated rows and null ids need
-    no care; memory grows with the longest text, not with the number of rows.
+    no care; memory grows with the longest text and the number of languages (for a text's words, a
+    row of numbers each, and for every 32 of them a matrix), not with the number of rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

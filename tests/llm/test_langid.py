@@ -1,6 +1,7 @@
 import itertools
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -128,3 +129,16 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert np.mean([a == b for a, b in zip(got[0], [*texts, "long", "und"], strict=True)]) > 0.95 and got[0][-2] == "long"
     monkeypatch.setattr(L, "TRANSFERS", 1)  # texts one by one give the same
     assert m.predict(ask)[0] == got[0]
+
+
+def test_memory_with_many_languages():
+    rng = np.random.default_rng(5)
+    langs = [f"l{k:02}" for k in range(64)]
+    m = L.LanguageModel(langs, rng.normal(size=(1 << 11, 64)).astype(np.float32), np.zeros(0, np.uint64), np.zeros((1, 64), np.float32), rng.normal(size=(64, 64)))
+    texts = [EN * 70 for _ in range(512)]  # 3,000 characters each
+    m.predict(texts[:2])
+    tracemalloc.start()
+    found, _ = m.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 512 and peak < 500e6
