@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import materialise
+
 SLOTS = 1 << 20
 #: Most training documents with label 1 and with label 0, and their greatest length: what the driver may hold.
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 6_000
 SAMPLE_CHARS = 12_000
+#: Values of the hash that chooses them.
+HASHES = 1 << 40
 #: Bytes that are hashed at a time.
 SLICE_BYTES = 1_000_000
 
@@ -135,9 +139,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("k").isNotNull() & F.col("text").isNotNull())
     ids = usable.groupBy("k").agg(F.min(F.length("text") > most_chars).alias("long")).join(known, "k")
-    ranked = Window.partitionBy("label").orderBy("long", F.xxhash64("k"), "k")
-    most = F.when(F.col("label") == 1, most_toxic).otherwise(most_clean)
-    chosen = ids.withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= max(most_toxic, most_clean)) & (F.col("rank") <= most)).select("k", "label")
+    ids = materialise(ids.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES))))
+    # The labels' counts say how small a hash has to be to come into question, so that few rows are ranked.
+    wanted = F.lit(False)
+    most = {1: most_toxic, 0: most_clean}
+    for label, every, short in ids.groupBy("label").agg(F.count("*"), F.count(F.when(~F.col("long"), 1))).collect():
+        n = short if short >= most[label] else every
+        below = HASHES if n <= 8 * most[label] else -(-HASHES * 4 * most[label] // n)
+        wanted = wanted | ((F.col("label") == label) & (F.col("h") < below) & (F.lit(short < most[label]) | ~F.col("long")))
+    ranked = Window.partitionBy("label").orderBy("long", "h", "k")
+    enough = F.when(F.col("label") == 1, most_toxic).otherwise(most_clean)
+    chosen = ids.where(wanted).withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= max(most.values())) & (F.col("rank") <= enough)).select("k", "label")
     # At most most_toxic + most_clean rows of two numbers; a repeated id counts once.
     rows = usable.join(F.broadcast(chosen), "k").groupBy("k", "label").agg(F.min(F.substring("text", 1, most_chars)).alias("text"))
     return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (-r.label, str(r.k)))]

@@ -92,6 +92,8 @@ def test_labels_of_other_documents_take_no_place(spark):
     sample = X.training_sample(docs, labels, "doc_id", "text", "toxic", 150, 120, 1000)
     assert sorted(label for label, _ in sample) == [0] * 120 + [1] * 150
     assert all((label == 1) == text.startswith("vile") for label, text in sample)
+    least = X.training_sample(docs, labels, "doc_id", "text", "toxic", 5, 3, 1000)  # by hashes below a bound
+    assert sorted(label for label, _ in least) == [0] * 3 + [1] * 5
     few = X.training_sample(docs, labels.where("doc_id < 10"), "doc_id", "text", "toxic", 150, 120, 4)
     assert sorted(few) == [(0, "kind")] * 5 + [(1, "vile")] * 5  # long texts only where there are no others
 
