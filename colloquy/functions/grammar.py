@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import SPACE as S
 
 # The header grammar of exported chats, and the phrases of notices that aren't messages.
-HEADER = rf"(?sU)^\[?(\d\d?/\d\d?/\d{{2,4}}),?{S}(\d\d?:\d\d(?::\d\d)?{S}?[AaPp]?[Mm]?)\]?{S}?-?{S}?([^:]+):{S}(.*)\z"
+GRAMMAR = r"^\[?(\d{1,2}/\d{1,2}/\d{2,4}),?\s(\d{1,2}:\d{2}(?::\d{2})?\s?[APap]?[Mm]?)\]?\s?-?\s?([^:]+):\s(.*)$"
 NOTICES = (
     "Messages and calls are end-to-end encrypted",
     "changed the subject",
@@ -23,6 +23,9 @@ NOTICES = (
 )
 DELETED = ("<media omitted>", "this message was deleted")
 
+#: The same for Java: any character after the colon, Unicode digits and white space, and nothing after the end.
+HEADER = "(?sU)" + GRAMMAR.removesuffix("$").replace(r"\s", S) + r"\z"
+
 _MARK = "\x01"
 
 
