@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from colloquy.operators.messages import customers
+from colloquy.operators.messages import customers, message_counts
 from colloquy.plans.extract import HttpProvider, Provider, extract, require_key, write_insights
 from colloquy.plans.profiles import PROFILES
 from colloquy.sources.exports import is_zip, read_export
@@ -29,8 +29,8 @@ def parse(spark: SparkSession, path: str) -> str:
     n, total = write_parsed(found, out, nested=is_zip(path))
     print(f"{total} messages of {n} customer(s) -> {out}" if is_zip(path) else f"{total} messages -> {out}")
     if is_zip(path):
-        for row in found.orderBy("fname").toLocalIterator():
-            print(f"  {row['customer_name']}: {len(row['messages'])} messages")
+        for row in message_counts(found).orderBy("fname").toLocalIterator():
+            print(f"  {row['customer_name']}: {row['n_messages']} messages")
     else:
         for row in found.limit(1).collect():
             if row["messages"]:
