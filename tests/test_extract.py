@@ -236,6 +236,7 @@ def test_nested_document_and_empty_one(spark, tmp_path):
     assert [(r.customer_name, r.message) for r in read_parsed(spark, path).collect()] == [("a", "m")]
     write_parsed_lines(found, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    assert [(r.customer_name, r.message) for r in read_parsed(spark, str(tmp_path / "lines"), lines=True).collect()] == [("a", "m")]
     (tmp_path / "e.json").write_text("[]")
     assert read_parsed(spark, str(tmp_path / "e.json")).count() == 0
 
