@@ -11,6 +11,7 @@ from colloquy.llm.decontam import find_leaks
 from colloquy.llm.forest import nearest
 from colloquy.llm.langid import fit_languages, label_languages
 from colloquy.llm.pieces import encode_pieces
+from colloquy.llm.ranked import rank_items
 from colloquy.llm.sharding import balanced_shards
 from colloquy.llm.simhash import near_duplicates
 from colloquy.llm.simple8b import read_tokens, token_dataset
@@ -85,6 +86,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -98,6 +103,7 @@ QUERIES = {
         op8_simple8b,
         op9_simhash,
         op10_toxicity,
+        op11_ranked_search,
     )
 }
 ORACLES: dict[str, str] = {
@@ -136,4 +142,22 @@ ORACLES: dict[str, str] = {
             CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM cut
     """,
+    "op11_ranked_search": r"""
+        WITH doc AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+        ), asked AS (
+          SELECT item_id, term, count(*) AS times
+          FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+          GROUP BY item_id, term
+        ), told AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM doc),
+        sized AS (SELECT r, doc_id, 75 + 25 * len(ts) * n // l AS m FROM doc, told),
+        posting AS (
+          SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+        ), weight AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, told GROUP BY term),
+        scored AS (
+          SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM asked JOIN weight USING (term) JOIN posting USING (term) JOIN sized USING (r) GROUP BY item_id, r
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored JOIN sized USING (r) WHERE score > 0 QUALIFY rank <= 20
+    """,
 }

@@ -18,12 +18,12 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(R.ORACLES))
 def test_query_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = e.queries()[name](spark, DATA).toPandas(), duck.execute(R.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
 def test_all_queries_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in R.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in R.QUERIES) == list(range(1, 12))
     assert "pipeline" in e.queries()
