@@ -12,6 +12,7 @@ from colloquy.llm.forest import nearest
 from colloquy.llm.langid import fit_languages, label_languages
 from colloquy.llm.pieces import encode_pieces
 from colloquy.llm.ranked import rank_items
+from colloquy.llm.repeats import cut_repeats
 from colloquy.llm.sharding import balanced_shards
 from colloquy.llm.simhash import near_duplicates
 from colloquy.llm.simple8b import read_tokens, token_dataset
@@ -90,6 +91,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read_table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -104,6 +109,7 @@ QUERIES = {
         op9_simhash,
         op10_toxicity,
         op11_ranked_search,
+        op13_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {
@@ -160,4 +166,19 @@ ORACLES: dict[str, str] = {
         )
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored JOIN sized USING (r) WHERE score > 0 QUALIFY rank <= 20
     """,
+    "op13_substring_dedup": r"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        starts AS (SELECT r, doc_id, unnest(range(1, len(ws) - 48)) AS pos FROM doc WHERE len(ws) >= 50),
+        hashed AS (SELECT s.r, s.doc_id, s.pos, md5(array_to_string(ws[s.pos:s.pos + 49], ' ')) AS h FROM starts s JOIN doc USING (r)),
+        firsts AS (SELECT h, min(doc_id) AS first FROM hashed GROUP BY h),
+        hits AS (SELECT r, pos FROM hashed JOIN firsts USING (h) WHERE doc_id > first),
+        word AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM doc),
+        covered AS (
+            SELECT r, w, pos, max(hits.pos IS NOT NULL) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM word LEFT JOIN hits USING (r, pos)
+        ),
+        kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS words FROM covered GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (r)
+    """,
 }
