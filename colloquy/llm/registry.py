@@ -12,6 +12,7 @@ from colloquy.llm.forest import nearest
 from colloquy.llm.langid import fit_languages, label_languages
 from colloquy.llm.pieces import encode_pieces
 from colloquy.llm.ranked import rank_items
+from colloquy.llm.repair import structure_report
 from colloquy.llm.repeats import cut_repeats
 from colloquy.llm.sharding import balanced_shards
 from colloquy.llm.simhash import near_duplicates
@@ -91,6 +92,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_report(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(read_table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -109,6 +114,7 @@ QUERIES = {
         op9_simhash,
         op10_toxicity,
         op11_ranked_search,
+        op12_structure_repair,
         op13_substring_dedup,
     )
 }
@@ -166,6 +172,71 @@ ORACLES: dict[str, str] = {
         )
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored JOIN sized USING (r) WHERE score > 0 QUALIFY rank <= 20
     """,
+    "op12_structure_repair": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                flatten(list_transform(regexp_extract_all(hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b
+            FROM conversations
+        ),
+        kind AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 20 AS d FROM keyed
+        ),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM kind WHERE d <> 0
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                left(role, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM damaged
+        ),
+        line AS (
+            SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS f,
+                lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair
+            FROM placed
+        ),
+        -- The cheapest way to each state (0 start, 1 system, 2 user, 3 assistant) after each row, as padded cost and audit.
+        walk AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '0000000000' AS way FROM line
+            UNION ALL
+            SELECT conv_id, i, state, min(printf('%010d', CAST(cost AS BIGINT)) || audit) FROM (
+                SELECT conv_id, i, CASE WHEN edit = 'D' THEN here WHEN edit = 'K' AND r = 's' AND here = 0 THEN 1 WHEN here = 2 THEN 3 ELSE 2 END AS state,
+                    CAST(left(way, 10) AS BIGINT) + 3 * n + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN f = 't' AND edit <> 'D' THEN 3 ELSE 0 END AS cost,
+                    substring(way, 11) || repeat('I', n) || edit AS audit
+                FROM (
+                    SELECT line.conv_id, line.i, r, f, way, n, CASE WHEN n = 0 THEN state WHEN state = 2 THEN 3 ELSE 2 END AS here
+                    FROM walk JOIN line ON line.conv_id IS NOT DISTINCT FROM walk.conv_id AND line.i = walk.i + 1, (VALUES (0), (1)) inserts(n)
+                ), (VALUES ('D'), ('K'), ('R')) edits(edit)
+                WHERE edit = 'D' OR f NOT IN ('b', 'd') AND (edit = 'R' OR r = CASE WHEN here = 2 THEN 'a' ELSE 'u' END OR r = 's' AND here = 0)
+            ) GROUP BY conv_id, i, state
+        ),
+        size AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                count(*) FILTER (f = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM line GROUP BY conv_id
+        ),
+        best AS (
+            SELECT walk.conv_id, min(CASE state WHEN 2 THEN printf('%010d', CAST(left(way, 10) AS BIGINT) + 3) || substring(way, 11) || 'I' WHEN 1 THEN printf('%010d', CAST(left(way, 10) AS BIGINT) + 6) || substring(way, 11) || 'II' ELSE way END) AS way
+            FROM walk JOIN size ON size.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = size.n GROUP BY walk.conv_id
+        ),
+        letter AS (SELECT conv_id, unnest(string_split(substring(way, 11), '')) AS edit, unnest(range(1, length(way) - 9)) AS p FROM best WHERE length(way) > 10),
+        numbered AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM letter),
+        told AS (
+            SELECT numbered.conv_id, p, edit, role, text, r, row_number() OVER (PARTITION BY numbered.conv_id ORDER BY p) AS j, first_value(edit = 'K' AND r = 's') OVER (PARTITION BY numbered.conv_id ORDER BY p) AS led
+            FROM numbered LEFT JOIN line ON line.conv_id IS NOT DISTINCT FROM numbered.conv_id AND line.i = numbered.i AND edit <> 'I' WHERE edit <> 'D'
+        ),
+        digest AS (
+            SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS sha
+            FROM told GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(CAST(left(way, 10) AS BIGINT), 0) AS cost, coalesce(substring(way, 11), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN size ON size.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN digest ON digest.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
     "op13_substring_dedup": r"""
         WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
         starts AS (SELECT r, doc_id, unnest(range(1, len(ws) - 48)) AS pos FROM doc WHERE len(ws) >= 50),
