@@ -1,10 +1,12 @@
 """Calling a model for every chunk, once.
 
 A model is slow, costs money and answers differently each time, so what was paid for is kept.
-Chunks are keyed by what is asked; they are asked in waves, each of which appends its answers to
-a table in a shared folder, and the table is read back before anything is done with them. A call
-that fails is a row with its reason, whatever the failure; a wave whose worker dies loses that
-wave's answers at most. A later run asks only for what the table lacks or has as failed.
+Chunks are keyed by what is asked. Each answer goes to a log at once, before the task returns it,
+so that neither a task that is tried again nor a second copy of it pays for it twice. Chunks are
+asked in waves; a wave reads its own part of what is to be asked and appends one file to a table in
+a shared folder, and the table is read back before anything is done with the answers. A call that
+fails is a row with its reason, whatever the failure. A later run asks only for what neither the
+table nor the log has.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import json
 import time
 import urllib.error
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Protocol
@@ -21,21 +25,41 @@ from typing import Protocol
 import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import responses
 from colloquy.operators.chunks import CHUNK_SIZE, prompts
+from colloquy.plans.answerlog import LEASE, AnswerLog, Writer, qualified
+from colloquy.plans.pace import TokenBucket
 from colloquy.plans.profiles import Profile
-from colloquy.sources.shared import materialise
+from colloquy.sources.shared import materialise, scratch_path
 
 CACHE = "chunk_key string, raw string, status string, attempts int, reason string, at timestamp"
 #: Chunks of one wave.
-WAVE = 256
+WAVE = 1024
 
 
 class ServerError(Exception):
-    """The model's service failed; asking again may help."""
+    """The model's service failed; asking again may help, after ``wait`` seconds where it says so."""
+
+    def __init__(self, reason: str = "", wait: float | None = None):
+        super().__init__(reason)
+        self.wait = wait
+
+
+def told_to_wait(error: Exception) -> float | None:
+    """Seconds of a ``Retry-After`` header, of whatever client's error."""
+    headers = getattr(error, "headers", None) or getattr(getattr(error, "response", None), "headers", None)
+    try:
+        return float(headers.get("Retry-After")) if headers else None
+    except (TypeError, ValueError):  # none, or a date
+        return None
+
+
+#: Answers by status code that asking again may change: too many requests, and failures of the service.
+def is_passing(code: int | None) -> bool:
+    return code == 429 or code is not None and code >= 500
 
 
 class Provider(Protocol):
@@ -92,8 +116,8 @@ class HttpProvider:
                 with urllib.request.urlopen(self.request(profile, prompt, key), timeout=self.timeout) as answer:
                     return json.load(answer)["text"]
             except urllib.error.HTTPError as e:
-                if e.code >= 500:
-                    raise ServerError(str(e)) from e
+                if is_passing(e.code):
+                    raise ServerError(str(e), told_to_wait(e)) from e
                 raise
 
         return call
@@ -116,8 +140,8 @@ class MessagesProvider:
             try:
                 answer = client.messages.create(model=profile.model, max_tokens=profile.max_tokens or 4096, system=profile.system, messages=[{"role": "user", "content": prompt}])
             except anthropic.APIStatusError as e:
-                if e.status_code >= 500:
-                    raise ServerError(str(e)) from e
+                if is_passing(e.status_code):
+                    raise ServerError(str(e), told_to_wait(e)) from e
                 raise
             return answer.content[0].text
 
@@ -145,8 +169,10 @@ class ContentProvider:
                 settings["max_output_tokens"] = profile.max_tokens
             try:
                 return client.models.generate_content(model=profile.model, contents=prompt, config=settings).text
-            except genai.errors.ServerError as e:
-                raise ServerError(str(e)) from e
+            except genai.errors.APIError as e:
+                if is_passing(e.code):
+                    raise ServerError(str(e), told_to_wait(e)) from e
+                raise
 
         return call
 
@@ -158,18 +184,23 @@ def require_key(variable: str, environment: dict[str, str]) -> None:
         raise SystemExit(1)
 
 
-def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str, int, str | None]:
+def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, sleep: Callable[[float], None] = time.sleep, pace: TokenBucket | None = None) -> tuple[str | None, str, int, str | None]:
     """(answer, status, attempts, reason): answered, gave_up or failed.
 
-    Server errors are tried again after 2, 4, 8... seconds, as often as the profile says. Any other
-    error, and an answer that is no text, fails the chunk at once, and no other one.
+    Server errors are tried again after 2, 4, 8... seconds, as often as the profile says; a wait that
+    the server asks for is kept by all calls that share the pace. Any other error, and an answer
+    that is no text, fails the chunk at once, and no other one.
     """
     reason = None
     for attempt in range(1, profile.retries + 1):
+        if pace:
+            pace.take()
         try:
             found = call(profile, prompt)
         except ServerError as e:
             reason = described(e)
+            if pace and e.wait:
+                pace.wait(e.wait)
             if attempt < profile.retries:
                 sleep(2**attempt)
         except Exception as e:  # of any client library: one chunk's failure is not the others'
@@ -179,6 +210,17 @@ def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, slee
     return None, "gave_up", profile.retries, reason
 
 
+def ask_once(log: Writer, key: str, *asked) -> tuple[str | None, str, int, str | None]:
+    """Like ``ask``, but an answer that the log has is not asked for again, and a new one is logged first."""
+    known, attempt = log.take(key)
+    if not known:
+        found = ask(*asked)
+        if found[1] != "answered":
+            return found
+        known = log.put(key, attempt, found[0], found[2])
+    return known["raw"], "answered", known["attempts"], None
+
+
 def described(error: Exception) -> str:
     return f"{type(error).__name__}: {error}"[:500]
 
@@ -192,6 +234,14 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
+METRICS = "wave long, asked long, answered long, failed long, gave_up long, seconds double, lost string"
+
+
+def wave_metrics(spark: SparkSession, cache_path: str) -> DataFrame:
+    """One row for each wave of all runs so far: how many chunks came out how, and how long it took."""
+    return spark.read.schema(METRICS).parquet(f"{cache_path}/_metrics")
+
+
 def answered(
     chunks: DataFrame,
     profile: Profile,
@@ -201,40 +251,71 @@ def answered(
     sleep: Callable[[float], None] = time.sleep,
     wave: int = WAVE,
     progress: Callable[[dict[str, int]], None] | None = None,
+    in_flight: int = 1,
+    rate: float | None = None,
+    lease: float = LEASE,
 ) -> DataFrame:
     """Chunks with raw answer, status, attempts and reason; equal prompts are asked once.
 
-    At most ``concurrency`` calls run at a time. ``progress`` hears after each wave how many chunks
-    were asked and how many came out how. Chunks of a wave that was lost have the status ``lost``.
+    ``concurrency`` tasks ask, each with ``in_flight`` calls at a time; ``rate`` bounds the calls a
+    second of all of them. ``progress`` hears after each wave how many chunks so far came out how,
+    as the tasks counted them. Chunks of a wave that was lost have the status ``lost``; its answers
+    are in the log, and the next run takes them from there. Ends at once where no connection can be
+    made.
     """
     spark = chunks.sparkSession
+    log = AnswerLog(qualified(spark, f"{cache_path}/_log"), lease)
+    log.check()
     asked_with = [F.lit(x) for x in (profile.name, profile.model, profile.system, str(profile.max_tokens), str(profile.json_only))]
     keyed = materialise(chunks.withColumn("chunk_key", F.sha2(F.concat_ws("\x00", *asked_with, F.col("prompt")), 256)))
     known = cached(spark, cache_path).where("status = 'answered'").select("chunk_key")
-    todo = materialise(keyed.select("chunk_key", "prompt").dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left_anti"))
+    todo = materialise(keyed.select("chunk_key").distinct().join(known, "chunk_key", "left_anti"))
+    waves = max(1, -(-todo.count() // wave))
+    mine = F.pmod(F.xxhash64("chunk_key"), F.lit(waves))
+    dealt = scratch_path(spark)
+    prompts_of = keyed.select("chunk_key", "prompt").dropDuplicates(["chunk_key"]).join(todo, "chunk_key", "left_semi")
+    prompts_of.withColumn("wave", mine).repartition("wave").write.partitionBy("wave").parquet(dealt)
+    share = rate / concurrency if rate else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = None
-        for frame in frames:
-            call = call or provider.connect()
-            found = [(key, *ask(call, profile, prompt, sleep), pd.Timestamp.now()) for key, prompt in zip(frame["chunk_key"], frame["prompt"], strict=True)]
-            yield pd.DataFrame(found, columns=["chunk_key", "raw", "status", "attempts", "reason", "at"])
-
-    waves = -(-todo.count() // wave)
-    mine = F.pmod(F.xxhash64("chunk_key"), F.lit(max(1, waves)))
-    lost = {}
-    for k in range(waves):
-        part = todo.where(mine == k)
+        call, pace = None, TokenBucket(share)
+        with log.writer() as written, ThreadPoolExecutor(in_flight) as calls:
+            for frame in frames:
+                try:
+                    call = call or provider.connect()
+                except Exception as e:  # it fails for all chunks: one row says so instead of task failures
+                    yield pd.DataFrame([(frame["chunk_key"][0], None, "unconnected", 0, described(e), pd.Timestamp.now())], columns=columns)
+                    return
+                for key, found in zip(frame["chunk_key"], calls.map(lambda key, prompt: ask_once(written, key, call, profile, prompt, sleep, pace), frame["chunk_key"], frame["prompt"]), strict=True):
+                    yield pd.DataFrame([(key, *found, pd.Timestamp.now())], columns=columns)
+
+    columns = [c.split(" ")[0] for c in CACHE.split(", ")]
+    count = [F.count_if(F.col("status") == s).alias(s) for s in ("answered", "failed", "gave_up", "unconnected")]
+    because = F.max(F.when(F.col("status") == "unconnected", F.col("reason"))).alias("because")
+    sofar, lost, metrics = Counter(), {}, []
+    for k in [r["wave"] for r in spark.read.parquet(dealt).select("wave").distinct().orderBy("wave").collect()] if todo.count() else []:
+        part = spark.read.schema("chunk_key string, prompt string").parquet(f"{dealt}/wave={k}")
+        came_out, began = Observation(), time.monotonic()
+        # One file a wave: tasks that ask hand their answers to one that writes them.
+        one = part.repartition(concurrency).mapInPandas(run, CACHE).repartition(1).observe(came_out, *count, because)
         try:
-            part.repartition(concurrency).mapInPandas(run, CACHE).write.mode("append").parquet(cache_path)
+            one.write.mode("append").parquet(cache_path)
+            got = came_out.get
         except (PySparkException, Py4JError) as e:
-            lost[k] = described(e)
+            lost[k], got = described(e), {}
+        if got.get("unconnected"):
+            raise ConnectionError(f"no connection can be made: {got['because']}")
+        told = {s: got.get(s, 0) for s in ("answered", "failed", "gave_up")}
+        sofar.update(told)
+        metrics.append((k, sum(told.values()), *told.values(), time.monotonic() - began, lost.get(k)))
         if progress:
-            came_out = cached(spark, cache_path).join(todo.where(mine <= k).select("chunk_key"), "chunk_key", "left_semi")
-            progress({r["status"]: r["n"] for r in came_out.groupBy("status").agg(F.countDistinct("chunk_key").alias("n")).collect()})
+            progress({s: n for s, n in sofar.items() if n})
+    if metrics:
+        spark.createDataFrame(metrics, METRICS).coalesce(1).write.mode("append").parquet(f"{cache_path}/_metrics")
     newest = F.max_by(F.struct("raw", "status", "attempts", "reason"), F.struct(F.col("status") == "answered", "at"))
     latest = cached(spark, cache_path).groupBy("chunk_key").agg(newest.alias("a"))
-    gone = F.coalesce(*(F.when(mine == k, reason) for k, reason in lost.items()), F.lit("no answer was kept"))
+    reasons = F.create_map(*(F.lit(x) for pair in lost.items() for x in pair))[mine] if lost else F.lit(None)
+    gone = F.coalesce(reasons, F.lit("no answer was kept"))
     found = keyed.join(latest, "chunk_key", "left")
     return found.select(*keyed.columns, "a.raw", F.coalesce("a.status", F.lit("lost")).alias("status"), "a.attempts", F.when(F.col("a.status").isNull(), gone).otherwise(F.col("a.reason")).alias("reason"))
 
