@@ -1,7 +1,7 @@
 """Transcript files into lines, lines into messages, messages into customers.
 
-A file is one row of at most 2 GB, which is as far as its windows and groups reach; files are
-spread over the cluster by (src, fname).
+Files come as rows of at most 2 GB each, or as lines, of any number. Files are spread over the
+cluster by (src, fname); those of many lines, when they come as lines, by blocks of these too.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.grammar import DELETED, NOTICES, captures
 from colloquy.functions.text import collapse, contains_any, strip
+from colloquy.sources.shared import materialise
 
 KEYS = ["src", "fname", "customer_name"]
 MESSAGE = ["date", "time", "sender", "message"]
+#: Lines of a file that one task counts.
+BLOCK = 100_000
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -48,12 +51,44 @@ def grouped(of: DataFrame) -> DataFrame:
     Notices count for nothing, so what follows one continues the message before it. The filter
     comes after the window: before it, the pattern would be worked out again for every use.
     """
-    kept = (F.col("is_header") & ~F.col("is_notice")).cast("long")
     so_far = Window.partitionBy("src", "fname").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = headers(of).withColumn("g", F.sum(kept).over(so_far))
+    return pieced(headers(of).withColumn("g", F.sum(kept()).over(so_far)))
+
+
+def kept() -> Column:
+    return (F.col("is_header") & ~F.col("is_notice")).cast("long")
+
+
+def pieced(seen: DataFrame) -> DataFrame:
     return seen.withColumn("piece", F.when(F.col("is_header"), F.col("body")).otherwise(F.col("line")))
 
 
+def grouped_in_blocks(of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same rows as ``grouped``, by many tasks for each file.
+
+    Headers are counted inside blocks of ``block`` lines; what the file's earlier blocks have
+    counted is carried over, so a message that is unfinished at the end of a block goes on in the
+    next. Totals come from rows that lie together by block already; only they are put in order.
+    """
+    part = ["src", "fname", "block"]
+    so_far = Window.partitionBy(*part).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = headers(of).withColumn("block", F.floor(F.col("n") / block)).withColumn("inside", F.sum(kept()).over(so_far))
+    earlier = Window.partitionBy("src", "fname").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = seen.groupBy(*part).agg(F.max("inside").alias("total"))
+    carried = totals.select(*part, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    whole = seen.join(carried, part)  # files have names: no part of the key is null
+    return pieced(whole.withColumn("g", F.col("before") + F.col("inside"))).drop(*part[2:], "inside", "before").select(*KEYS, "n", "line", "is_header", "date", "time", "sender", "body", "is_notice", "g", "piece")
+
+
+def grouped_by_size(of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Files of up to ``block`` lines by one task each, longer ones by many; ``of`` is a written table."""
+    long = of.where(F.col("n") >= block).select("src", "fname").distinct()
+    if long.isEmpty():
+        return grouped(of)
+    long = materialise(long)
+    return grouped(of.join(long, ["src", "fname"], "left_anti")).unionByName(grouped_in_blocks(of.join(long, ["src", "fname"], "left_semi"), block))
+
+
 def said() -> Column:
     return (F.col("line") != "") & ~F.col("is_notice") & (F.col("g") > 0)
 
@@ -68,7 +103,12 @@ def fold(of: DataFrame) -> DataFrame:
 
     Lines before the first kept header are dropped. ``g`` counts messages from 1 in file order.
     """
-    rows = grouped(of).where(said())
+    return folded(grouped(of))
+
+
+def folded(lines_by_message: DataFrame) -> DataFrame:
+    """``fold`` from the lines' message numbers on."""
+    rows = lines_by_message.where(said())
     first = F.min(F.struct("n", "date", "time", "sender")).alias("h")
     found = rows.groupBy(*KEYS, "g").agg(first, joined(F.collect_list(F.struct("n", "piece"))).alias("message"))
     return found.select(*KEYS, "g", "h.date", "h.time", "h.sender", "message")
@@ -80,6 +120,20 @@ def clean(messages: DataFrame) -> DataFrame:
     return found.where((F.col("message") != "") & ~F.lower("message").isin(*DELETED))
 
 
+def stripped(raw: DataFrame) -> DataFrame:
+    """``lines`` of files that come as rows (keys, n, raw) already."""
+    return raw.select(*KEYS, "n", strip(F.col("raw")).alias("line"))
+
+
+def messages_of_lines(raw: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``messages`` of a written table of raw lines; no file has to fit into one task."""
+    return clean(folded(grouped_by_size(stripped(raw), block)))
+
+
+def customers_of_lines(raw: DataFrame, block: int = BLOCK) -> DataFrame:
+    return nested(grouped_by_size(stripped(raw), block))
+
+
 def messages(files: DataFrame) -> DataFrame:
     """The flat message table of transcript files."""
     return clean(fold(lines(files)))
@@ -90,7 +144,11 @@ def customers(files: DataFrame) -> DataFrame:
 
     No join brings empty files back: they are never filtered, only their pieces are left out.
     """
-    rows = grouped(lines(files))
+    return nested(grouped(lines(files)))
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """``customers`` from the lines' message numbers on. A customer's messages are one row."""
     part = F.when(said(), F.struct("n", "piece"))
     head = F.when(said(), F.struct("n", "date", "time", "sender"))
     found = rows.groupBy(*KEYS, "g").agg(F.min(head).alias("h"), collapse(joined(F.collect_list(part))).alias("message"))

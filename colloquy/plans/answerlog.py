@@ -23,19 +23,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
 
 #: Seconds without a sign of life after which a claim is void.
 LEASE = 15.0
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a URI, as Spark would resolve it."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
-    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 @dataclass(frozen=True)
 class AnswerLog:
     """Where answers are, for sending to tasks; each makes a ``Writer`` of its own."""

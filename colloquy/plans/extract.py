@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import responses
 from colloquy.operators.chunks import CHUNK_SIZE, prompts
-from colloquy.plans.answerlog import LEASE, AnswerLog, Writer, qualified
+from colloquy.plans.answerlog import LEASE, AnswerLog, Writer
 from colloquy.plans.pace import TokenBucket
 from colloquy.plans.profiles import Profile
-from colloquy.sources.shared import materialise, scratch_path
+from colloquy.sources.shared import materialise, qualified, scratch_path
 
 CACHE = "chunk_key string, raw string, status string, attempts int, reason string, at timestamp"
 #: Chunks of one wave.

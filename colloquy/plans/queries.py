@@ -19,6 +19,8 @@ from colloquy.operators import responses as R
 from colloquy.operators.chunks import chunked, prompts
 from colloquy.plans.profiles import INSIGHTS, ITEMS, Profile
 from colloquy.sources.exports import stem
+from colloquy.sources.members import read_transcripts, write_archives
+from colloquy.sources.shared import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +79,22 @@ def continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fold(M.lines(plain_files(spark, sf_dir))).select(conv_id(), F.col("g").cast("long").alias("g"), "time", "sender", "message")
 
 
+def long_history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the lines of one file, folded in blocks: every third is a header, the others go on."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("n"), F.concat("event_type", F.lit(" "), "props").alias("said"))
+    line = F.when(F.col("n") % 3 == 0, F.concat(header(F.col("n"), F.lit("Ana")), F.col("said"))).otherwise(F.col("said"))
+    raw = e.select(F.lit("events").alias("src"), F.lit("all.txt").alias("fname"), F.lit("all").alias("customer_name"), "n", line.alias("raw"))
+    return M.folded(M.grouped_in_blocks(M.stripped(raw), block=500)).select(F.col("g").cast("long").alias("g"), "time", "message")
+
+
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as archives of transcripts by many tasks, read back member by member and folded."""
+    path = scratch_path(spark, "archives")
+    write_archives(plain_files(spark, sf_dir), path)
+    found = M.messages_of_lines(read_transcripts(spark, path).lines)
+    return found.select("fname", "customer_name", F.col("g").cast("long").alias("g"), "sender", "message")
+
+
 def system_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fold(M.lines(marked_files(spark, sf_dir))).select(conv_id(), F.col("g").cast("long").alias("g"), "sender", "message")
 
@@ -212,7 +230,7 @@ def meta_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        message_counts, line_scan, header_capture, continuation_fold, system_filter, clean_messages, orphan_drop, customer_tag, keep_empty_customers,
+        message_counts, line_scan, archive_scan, header_capture, continuation_fold, long_history_fold, system_filter, clean_messages, orphan_drop, customer_tag, keep_empty_customers,
         nest_messages, total_counts, chunking, render_prompt, render_insights, fence_strip, json_fallback, merge_concat, typed_items, first_message, error_prefix, meta_row,
     )
 }
@@ -257,6 +275,10 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, '12/06/24' AS date, {_TIME} AS time, role AS sender, trim(string_split(text, chr(10))[1]) AS message FROM t""",
     "continuation_fold": f"""WITH {_TURNS}
         SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS g, {_TIME} AS time, role AS sender, {_JOINED} AS message FROM t""",
+    "long_history_fold": f"""WITH e AS (SELECT event_id AS n, event_type || ' ' || props AS said, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS g FROM events)
+        SELECT CAST(g AS BIGINT) AS g, '15:' || lpad(CAST(min(n) % 60 AS VARCHAR), 2, '0') || ' ' AS time, string_agg(said, ' ' ORDER BY n) AS message FROM e WHERE g > 0 GROUP BY g""",
+    "archive_scan": f"""WITH {_TURNS}
+        SELECT 'conv-' || conv_id || '.txt' AS fname, 'conv-' || conv_id AS customer_name, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS g, role AS sender, {_COLLAPSED.format("text")} AS message FROM t""",
     "system_filter": f"""WITH {_MARKED} SELECT conv_id, g, sender, message FROM folded""",
     "clean_messages": f"""WITH {_MARKED}
         SELECT conv_id, g, sender, {_COLLAPSED.format("message")} AS message FROM folded WHERE lower({_COLLAPSED.format("message")}) NOT IN ('', 'this message was deleted', '<media omitted>')""",

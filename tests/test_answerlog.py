@@ -10,10 +10,11 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark import cloudpickle
 
-from colloquy.plans.answerlog import AnswerLog, qualified
+from colloquy.plans.answerlog import AnswerLog
 from colloquy.plans.extract import ReplayProvider, ServerError, answered, ask, extract, wave_metrics
 from colloquy.plans.pace import TokenBucket
 from colloquy.plans.profiles import ITEMS
+from colloquy.sources.shared import qualified
 from tests.test_extract import item, messages, nap
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
@@ -74,6 +75,7 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from colloquy.plans.extract import answered
 from colloquy.plans.profiles import ITEMS
+from colloquy.sources.shared import qualified
 
 class Deadly:
     def connect(self):
