@@ -34,20 +34,21 @@ def members(content: bytes) -> list[tuple[str, str]]:
     return sorted(found.items())
 
 
-def unzip(binary: DataFrame) -> DataFrame:
+def unzip(binary: DataFrame, also: str = "") -> DataFrame:
     """Rows (src, fname, customer_name, txt) for the text files of archives read as ``binaryFile``.
 
     Archives are opened in memory where they are read. One without text files gives no rows; one
-    that is no archive raises.
+    that is no archive raises. ``also`` names a column of the archive, with its type, to keep.
     """
+    extra = also.split(" ")[:1] if also else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(path, name, os.path.splitext(name)[0], text) for name, text in members(bytes(content))]
-                yield pd.DataFrame(rows, columns=["src", "fname", "customer_name", "txt"])
+            for path, content, *more in zip(*(frame[c] for c in ["path", "content", *extra]), strict=True):
+                rows = [(path, name, os.path.splitext(name)[0], text, *more) for name, text in members(bytes(content))]
+                yield pd.DataFrame(rows, columns=["src", "fname", "customer_name", "txt", *extra])
 
-    return binary.select("path", "content").mapInPandas(run, FILES)
+    return binary.select("path", "content", *extra).mapInPandas(run, ", ".join([FILES, also] if also else [FILES]))
 
 
 def decode_texts(binary: DataFrame) -> DataFrame:
