@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.text import strip
 from colloquy.operators.ordering import global_positions
+from colloquy.operators.spans import finite
 from colloquy.plans.profiles import Profile
 
 #: Fixed value: characters of an unreadable answer that are reported.
@@ -38,7 +39,7 @@ def strict_json(text: pd.Series) -> pd.Series:
 
     def read(one: str | None) -> str | None:
         try:
-            return json.dumps(json.loads(one or "", parse_constant=lambda _: None), ensure_ascii=False)
+            return json.dumps(finite(json.loads(one or "")))
         except (ValueError, RecursionError):
             return None
 
@@ -76,12 +77,12 @@ def entries(answered: DataFrame, profile: Profile, keys: Sequence[str]) -> DataF
     return one.select(*keys, F.col("l.list").alias("list"), F.posexplode("l.entries").alias("pos", "entry"))
 
 
-def merged(found: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows (list, position, entry): all entries of a list in order of customer, chunk and place, nothing removed.
+def merged(found: DataFrame, order: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Rows (list, position, entry, also): all entries of a list in order of customer, chunk and place, nothing removed.
 
     An answer's first position comes from the sizes of those before it, so no list goes through one task.
     """
-    return global_positions(found, ["list", *order], "pos").select("list", "position", "entry")
+    return global_positions(found, ["list", *order], "pos").select("list", "position", "entry", *also)
 
 
 def typed(found: DataFrame, profile: Profile, name: str, keys: Sequence[str]) -> DataFrame:

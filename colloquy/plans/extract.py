@@ -12,6 +12,7 @@ table nor the log has.
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import responses
 from colloquy.operators.chunks import CHUNK_SIZE, prompts
+from colloquy.operators.spans import indented, scanned, written_entries
 from colloquy.plans.answerlog import LEASE, AnswerLog, Writer
 from colloquy.plans.pace import TokenBucket
 from colloquy.plans.profiles import Profile
@@ -206,10 +208,15 @@ def ask(call: Callable[[Profile, str], str], profile: Profile, prompt: str, slee
         except Exception as e:  # of any client library: one chunk's failure is not the others'
             return None, "failed", attempt, described(e)
         else:
-            return (found, "answered", attempt, None) if isinstance(found, str) else (None, "failed", attempt, "the answer holds no text")
+            return (whole_characters(found), "answered", attempt, None) if isinstance(found, str) else (None, "failed", attempt, "the answer holds no text")
     return None, "gave_up", profile.retries, reason
 
 
+def whole_characters(text: str) -> str:
+    """Halves of surrogate pairs, which no table can hold, as JSON would escape them."""
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def ask_once(log: Writer, key: str, *asked) -> tuple[str | None, str, int, str | None]:
     """Like ``ask``, but an answer that the log has is not asked for again, and a new one is logged first."""
     known, attempt = log.take(key)
@@ -336,28 +343,30 @@ class Extraction:
     generated_at: str
 
     def document(self) -> Iterator[tuple[str, Iterator[str]]]:
-        """(list, its entries as JSON texts in order), for a sink that writes one document."""
-        ordered = responses.merged(self.entries, ["src", "fname", "chunk_no"])
+        """(list, its entries as they were written, in order), for a sink that writes one document."""
+        ordered = self.rows()
         for name in self.profile.keys:
-            rows = ordered.where(F.col("list") == name).orderBy("position").select(F.to_json("entry").alias("e"))
-            yield name, (r["e"] for r in rows.toLocalIterator())
+            rows = ordered.where(F.col("list") == name).orderBy("position").select("entry")
+            yield name, (r["entry"] for r in rows.toLocalIterator())
 
     def rows(self) -> DataFrame:
-        """The result as rows (list, position, entry), entries as JSON texts: for a sink that many tasks write."""
-        return responses.merged(self.entries, ["src", "fname", "chunk_no"]).select("list", "position", F.to_json("entry").alias("entry"))
+        """The result as rows (list, position, entry), entries as they were written: for a sink that many tasks write."""
+        return responses.merged(self.entries, ["src", "fname", "chunk_no"], ("written",)).select("list", "position", F.col("written").alias("entry"))
 
     def meta(self) -> dict:
         return {"source_file": self.source, "total_messages_analyzed": self.total_messages, "generated_at": self.generated_at, "model": self.profile.model}
 
 
-def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_path: str, source: str, size: int = CHUNK_SIZE, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep, wave: int = WAVE, progress: Callable[[dict[str, int]], None] | None = None) -> Extraction:
+def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_path: str, source: str, size: int = CHUNK_SIZE, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep, wave: int = WAVE, progress: Callable[[dict[str, int]], None] | None = None, in_flight: int = 1, rate: float | None = None) -> Extraction:
     """Chunk, ask, read and merge. Messages whose chunk failed still count as analysed."""
     keys = ["src", "fname", "chunk_no"]
     chunks = prompts(messages, profile, size=size)
-    read = responses.answers(answered(chunks, profile, provider, cache_path, concurrency, sleep, wave, progress), strict=True)
-    found = responses.entries(read, profile, keys)
+    told = answered(chunks, profile, provider, cache_path, concurrency, sleep, wave, progress, in_flight, rate)
+    # Read once: entries and errors both come from it.
+    read = materialise(told.withColumn("answer", scanned(responses.unfenced(F.col("raw")), profile.keys)))
+    found = written_entries(read, [*keys])
     unanswered = F.col("status") != "answered"
-    failed = read.withColumn("error", F.when(unanswered, F.col("status")).otherwise(F.col("error"))).withColumn("raw", F.when(unanswered, F.col("reason")).otherwise(F.col("raw")))
+    failed = read.withColumn("error", F.when(unanswered, F.col("status")).otherwise(F.col("answer.error"))).withColumn("raw", F.when(unanswered, F.col("reason")).otherwise(F.col("raw")))
     return Extraction(found, responses.errors(failed, keys), messages.count(), profile, source, now())
 
 
@@ -369,8 +378,7 @@ def write_insights(result: Extraction, path: str = "insights.json") -> None:
             out.write(f"\n  {json.dumps(name)}: [")
             empty = True
             for text in found:
-                entry = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-                out.write(("" if empty else ",") + "\n" + "\n".join("    " + line for line in entry.split("\n")))
+                out.write(("" if empty else ",") + "\n    " + indented(text, "    "))
                 empty = False
             out.write("]," if empty else "\n  ],")
         text = json.dumps(result.meta(), indent=2, ensure_ascii=False)

@@ -17,6 +17,7 @@ from colloquy.functions.text import strip
 from colloquy.operators import messages as M
 from colloquy.operators import responses as R
 from colloquy.operators.chunks import chunked, prompts
+from colloquy.operators.spans import scanned, written_entries
 from colloquy.plans.profiles import INSIGHTS, ITEMS, Profile
 from colloquy.sources.exports import stem
 from colloquy.sources.members import read_transcripts, write_archives
@@ -221,6 +222,20 @@ def error_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.errors(R.answers(long), ["conv_id", "turn"])
 
 
+#: Around each event's properties: numbers that change when they are read and written, repeated keys, odd spacing.
+ODD_ENTRY = '{"z":%s , "a": 5.0,"big":1e400, "n": 0.1234567890123456789, "a":[ ], "t":"\\ud800 \\u00e9 é ]}"}'
+
+
+def written_as_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer for each user, whose items are the user's events; the entries come back as they were written."""
+    before, after = ODD_ENTRY.split("%s")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit(before), "props", F.lit(after)).alias("e"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "e"))), lambda x: x["e"]), " ,\n")
+    answers = events.groupBy("user_id").agg(F.concat(F.lit('```json\n{"other": [1, {"items": [2]}], "items": ['), listed, F.lit("]}\n```")).alias("raw"))
+    read = answers.select(F.col("user_id").cast("long").alias("user_id"), scanned(R.unfenced(F.col("raw")), ITEMS.keys).alias("answer"))
+    return written_entries(read, ["user_id"]).select("user_id", F.col("pos").cast("long").alias("pos"), F.try_variant_get("entry", "$.z.k", "long").alias("k"), "written")
+
+
 def meta_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = M.messages(plain_files(spark, sf_dir)).agg(F.count("*").alias("n"))
     found = total.select(R.meta("conversations", F.col("n"), ITEMS.model, "").alias("m"))
@@ -231,7 +246,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         message_counts, line_scan, archive_scan, header_capture, continuation_fold, long_history_fold, system_filter, clean_messages, orphan_drop, customer_tag, keep_empty_customers,
-        nest_messages, total_counts, chunking, render_prompt, render_insights, fence_strip, json_fallback, merge_concat, typed_items, first_message, error_prefix, meta_row,
+        nest_messages, total_counts, chunking, render_prompt, render_insights, fence_strip, json_fallback, merge_concat, typed_items, first_message, error_prefix, written_as_said, meta_row,
     )
 }
 
@@ -308,6 +323,9 @@ ORACLES: dict[str, str] = {
         SELECT 'items' AS list, CAST(row_number() OVER (ORDER BY user_id, chunk_no, pos) - 1 AS BIGINT) AS position, item_name FROM items""",
     "typed_items": f"""WITH {_ANSWERS}
         SELECT user_id, chunk_no, CAST(pos AS BIGINT) AS pos, item_name, quantity, 'kg' AS quantity_unit, CAST(NULL AS VARCHAR) AS date FROM items""",
+    "written_as_said": """SELECT CAST(user_id AS BIGINT) AS user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS pos, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+            '%s' || props || '%s' AS written
+        FROM events""" % tuple(ODD_ENTRY.split("%s")),
     "first_message": f"""WITH {_TURNS}
         SELECT conv_id, CAST(1 AS BIGINT) AS g, role AS sender, {_COLLAPSED.format("text")} AS message FROM t ORDER BY conv_id, turn LIMIT 1""",
     "error_prefix": f"""WITH {_TURNS}

@@ -1,0 +1,73 @@
+import json
+import random
+
+import pytest
+
+from colloquy.operators.spans import indented, read_answer, spans
+from colloquy.plans.extract import ReplayProvider, ask, extract, write_insights
+from colloquy.plans.profiles import ITEMS
+from tests.test_extract import messages, nap
+
+WORDS = ["", "a", "items", "other", 'q"u', "b\\", "]}", "é", " ", "{[,:", "\ud800x"]
+
+
+def value(rng, depth=0):
+    kind = rng.randrange(8 if depth < 4 else 5)
+    if kind == 0:
+        return rng.choice([None, True, False])
+    if kind <= 2:
+        return rng.choice([0, -1, 5.0, 1.5e-7, 10**44, 3])
+    if kind <= 4:
+        return rng.choice(WORDS)
+    if kind <= 6:
+        return [value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(WORDS) + str(i): value(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_spans_of_random_answers(seed):
+    rng = random.Random(seed)
+    answer = {k: value(rng, 1) for k in rng.sample(["items", "more", "other", "x"], 3)}
+    layout = rng.choice([{}, {"indent": 1}, {"separators": (",", ":")}, {"separators": (" ,\n", "\t: ")}, {"ensure_ascii": False}])
+    text = json.dumps(answer, **layout)
+    found = spans(text, ["items", "more"])
+    want = {k: v for k, v in answer.items() if k in ("items", "more") and isinstance(v, list)}
+    assert {k: [json.loads(text[a:b]) for a, b in v] for k, v in found.items()} == want
+    assert all(text[a:b] == text[a:b].strip() for v in found.values() for a, b in v)
+    for pad in ("", "    "):
+        assert indented(text, pad) == json.dumps(answer, indent=2, ensure_ascii=layout.get("ensure_ascii", True)).replace("\n", "\n" + pad)
+
+
+def test_repeated_keys_and_other_kinds():
+    assert spans('{"items": [1], "items": [2, 3]}', ["items"]) == {"items": [(25, 26), (28, 29)]}
+    assert spans('{"items": [1], "items": "x"}', ["items"]) == {} == spans('{"a": {"items": [1]}, "b": [["items", [1]]]}', ["items"])
+    assert spans('{"it\\u0065ms": [ ]}', ["items"]) == {"items": []} and spans('{"items": [[], {}]}', ["items"]) == {"items": [(11, 13), (15, 17)]}
+
+
+def test_unusable_answers():
+    for text in ("", None, '{"items": [', '{"items": []} and more', "[" * 100_000):
+        assert read_answer(text, ["items"]) == ("not_json", [])
+    assert read_answer("[1]", ["items"]) == ("not_object", []) and read_answer('{"items": null}', ["items"]) == (None, [])
+
+
+SAID = ['{"item_name": "x", "quantity": 5.0}', '{"quantity": 1e400, "item_name": "big"}', '{"item_name": "n", "quantity": %s}' % ("123456789" * 5), '{"item_name": "\\ud800", "quantity": 0.1234567890123456789}', '{"z": NaN, "item_name": "q", "a": [1 ,2]}', '"loose"', '{"item_name": "é", "item_name": "last"}']
+
+
+def test_a_document_holds_what_was_said(spark, tmp_path):
+    provider = ReplayProvider([("c0 m0", ['{"items": [' + " , ".join(SAID) + "]}"]), ("c1 m0", ['{"items": [{"item_name": "half \ud800 pair"}]}'])])
+    result = extract(messages(spark, 1, 1), ITEMS, provider, str(tmp_path / "cache"), "x", sleep=nap)
+    assert result.errors.count() == 0
+    assert [r["entry"] for r in result.rows().orderBy("position").collect()] == [*SAID, '{"item_name": "half \\ud800 pair"}']
+    write_insights(result, str(tmp_path / "o.json"))
+    text = (tmp_path / "o.json").read_text()
+    for piece in ('"quantity": 5.0\n', '"quantity": 1e400,\n', '"quantity": ' + "123456789" * 5, '"\\ud800"', "0.1234567890123456789", '"z": NaN,\n', '"half \\ud800 pair"'):
+        assert piece in text
+    assert [list(e)[0] for e in json.loads(text)["items"] if isinstance(e, dict)] == ["item_name", "quantity", "item_name", "item_name", "z", "item_name", "item_name"]
+    from colloquy.operators.responses import typed
+
+    names = [r["item_name"] for r in typed(result.entries, ITEMS, "items", ["fname"]).orderBy("fname", "pos").collect()]
+    assert names[:3] == ["x", "big", "n"] and names[4:7] == ["q", None, "last"]
+
+
+def test_halves_of_pairs_are_escaped_when_they_come():
+    assert ask(lambda *_: "é \udfff \U0001f600", ITEMS, "p")[0] == "é \\udfff \U0001f600"
