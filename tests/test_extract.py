@@ -251,6 +251,26 @@ def test_command_line(capsys, monkeypatch):
     assert e.value.code == 1
 
 
+def test_a_second_run_of_the_command_asks_nothing(spark, tmp_path, capsys):
+    path = tmp_path / "chats_parsed.json"
+    path.write_text(json.dumps([{"customer_name": "a", "messages": [{"date": "d", "time": "t", "sender": "s", "message": "m", "customer_name": "a"}]}]))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    for _ in range(2):
+        cli.run_extraction(spark, str(path), "items", Faulty(calls), str(tmp_path / "o.json"))
+    assert len(list(calls.iterdir())) == 1 and (tmp_path / "chats_parsed_answers").is_dir()
+    assert json.loads((tmp_path / "o.json").read_text())["_meta"]["model"] == cli.MODELS["items"]
+
+
+def test_providers_of_the_command_line(monkeypatch, capsys):
+    assert cli.chosen("messages", None).key_variable == "ANTHROPIC_API_KEY" and cli.chosen("http", "u").url == "u"
+    monkeypatch.delenv("GEMINI_API_KEY", raising=False)
+    for arguments, said in ((["extract", "x"], "GEMINI_API_KEY"), (["extract", "x", "--provider", "messages", "--url", "u"], "usage"), (["extract", "x", "--provider", "http"], "usage")):
+        with pytest.raises(SystemExit) as e:
+            cli.main(arguments)
+        assert e.value.code == 1 and said in capsys.readouterr().out
+
+
 def test_request_holds_the_key_in_a_header_only():
     request = HttpProvider("https://example.invalid/x", "K").request(INSIGHTS, "hello", "secret")
     assert b"secret" not in request.data and json.loads(request.data)["max_tokens"] == 4000
