@@ -8,19 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.messages import MESSAGE
+from colloquy.sources.jsonblocks import read_elements
+from colloquy.sources.shared import materialise
 
 MESSAGE_TYPE = "struct<date:string,time:string,sender:string,message:string,customer_name:string>"
 SCHEMA = f"customer_name string, messages array<{MESSAGE_TYPE}>, date string, time string, sender string, message string"
 
 
-def read_parsed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_parsed(spark: SparkSession, path: str, lines: bool = False, block_bytes: int | None = None) -> DataFrame:
     """Rows (src, fname, customer_name, g, date, time, sender, message) of a parsed document.
 
-    A document is read by one task; ``lines`` reads JSON lines, as ``write_parsed_lines`` writes them, by many.
-    The first element alone says which shape it is: with ``messages`` it is by customer. An empty
-    document is flat and has no rows. ``fname`` keeps the customers' order.
+    A document is read by one task; with ``block_bytes`` by one for each block of so many bytes.
+    ``lines`` reads JSON lines, as ``write_parsed_lines`` writes them, by many. The first element
+    alone says which shape it is: with ``messages`` it is by customer. An empty document is flat and
+    has no rows. ``fname`` keeps the customers' order.
     """
-    rows = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path).select("*", F.input_file_name().alias("src"), F.monotonically_increasing_id().alias("at"))
+    if block_bytes:
+        found = materialise(read_elements(spark, path, block_bytes))
+        rows = found.select(F.from_json("element", SCHEMA).alias("e"), "src", "at").select("e.*", "src", "at")
+    else:
+        rows = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path).select("*", F.input_file_name().alias("src"), F.monotonically_increasing_id().alias("at"))
     first = rows.orderBy("at").select(F.col("messages").isNotNull().alias("nested")).first()
     place = F.lpad(F.col("at").cast("string"), 20, "0")
     if first is not None and first["nested"]:
