@@ -7,13 +7,17 @@ import dataclasses
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.operators.messages import customers, message_counts
-from colloquy.plans.extract import ContentProvider, HttpProvider, MessagesProvider, Provider, extract, require_key, write_insights
+from colloquy.operators.messages import customers, customers_of_lines, message_counts
+from colloquy.plans.extract import ContentProvider, HttpProvider, MessagesProvider, Provider, extract, require_key
 from colloquy.plans.profiles import PROFILES
 from colloquy.sources.exports import is_zip, read_export
-from colloquy.sources.parsed import parsed_path, read_parsed, write_parsed
-from colloquy.sources.shared import clear_scratch
+from colloquy.sources.jsonblocks import BLOCK_BYTES
+from colloquy.sources.members import read_transcripts
+from colloquy.sources.onefile import write_insights_document, write_parsed_document
+from colloquy.sources.parsed import parsed_path, read_parsed
+from colloquy.sources.shared import clear_scratch, materialise
 
 KEY = "COLLOQUY_API_KEY"
 # Each client's key variable, and the model that each profile asks unless another is named.
@@ -30,18 +34,27 @@ class Parser(argparse.ArgumentParser):
 
 
 def parse(spark: SparkSession, path: str) -> str:
-    found = customers(read_export(spark, path)).cache()
+    if is_zip(path):
+        told = read_transcripts(spark, path)
+        for row in told.problems.toLocalIterator():
+            print(f"{row['fname'] or path}: {row['problem']}" + (f", {row['dropped']} left out" if row["dropped"] else ""))
+        if not told.problems.where("fname IS NULL").isEmpty():
+            raise SystemExit(1)
+        found = materialise(customers_of_lines(told.lines))
+    else:
+        found = materialise(customers(read_export(spark, path)))
     out = parsed_path(path)
-    n, total = write_parsed(found, out, nested=is_zip(path))
+    write_parsed_document(found, out, nested=is_zip(path))
+    counts = message_counts(found)
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("n_messages"), F.lit(0))).first()
     print(f"{total} messages of {n} customer(s) -> {out}" if is_zip(path) else f"{total} messages -> {out}")
     if is_zip(path):
-        for row in message_counts(found).orderBy("fname").toLocalIterator():
+        for row in counts.orderBy("fname").toLocalIterator():
             print(f"  {row['customer_name']}: {row['n_messages']} messages")
     else:
-        for row in found.limit(1).collect():
-            if row["messages"]:
-                print("First message:", row["messages"][0].asDict())
-    found.unpersist()
+        for row in found.where(F.size("messages") > 0).select(F.element_at("messages", 1).alias("m")).limit(1).collect():
+            print("First message:", row["m"].asDict())
+    clear_scratch(spark)
     return out
 
 
@@ -52,8 +65,8 @@ def answers_path(path: str) -> str:
 
 def run_extraction(spark: SparkSession, path: str, profile: str, provider: Provider, out: str = "insights.json", cache: str | None = None, model: str | None = None, in_flight: int = 1, rate: float | None = None) -> str:
     asked = dataclasses.replace(PROFILES[profile], model=model or MODELS[profile])
-    result = extract(read_parsed(spark, path), asked, provider, cache or answers_path(path), path, progress=lambda came_out: print("Chunks so far:", came_out), in_flight=in_flight, rate=rate)
-    write_insights(result, out)
+    result = extract(read_parsed(spark, path, block_bytes=BLOCK_BYTES), asked, provider, cache or answers_path(path), path, progress=lambda came_out: print("Chunks so far:", came_out), in_flight=in_flight, rate=rate)
+    write_insights_document(result, out)
     for row in result.errors.toLocalIterator():
         print(f"chunk {row['chunk_no']} of {row['fname']}: {row['error']}: {row['answer']}")
     clear_scratch(spark)

@@ -225,6 +225,23 @@ def test_parse_and_read_back(spark, tmp_path):
     assert [r.message for r in read_parsed(spark, out).orderBy("g").collect()] == ["one é", "two"]
 
 
+def test_an_archive_is_parsed_and_its_problems_are_told(spark, tmp_path, capsys):
+    import zipfile
+
+    path = tmp_path / "chats.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("b.txt", "12/06/24, 9:16 - Ann: one".encode() + b"\xff")
+        z.writestr("a.txt", "")
+    out = cli.parse(spark, str(path))
+    said = capsys.readouterr().out
+    assert "b.txt: bytes that are no UTF-8, 1 left out" in said and "1 messages of 2 customer(s)" in said and said.index("  a: 0") < said.index("  b: 1")
+    found = json.loads(open(out).read())
+    assert [(c["customer_name"], [m["message"] for m in c["messages"]]) for c in found] == [("a", []), ("b", ["one"])]
+    path.write_bytes(b"none")
+    with pytest.raises(SystemExit):
+        cli.parse(spark, str(path))
+
+
 def test_nested_document_and_empty_one(spark, tmp_path):
     found = spark.createDataFrame(
         [("s", "b.txt", "b", []), ("s", "a.txt", "a", [("d", "t", "s", "m", "a")])],
