@@ -10,6 +10,7 @@ the label with the largest mean over its words, which is also the score.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ SEGMENT = 32
 #: Characters that are scored at a time.
 SLICE_CHARS = 250_000
 UNKNOWN = "und"
+SPACE = re.compile(r"\s")
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -77,6 +79,16 @@ def slices(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int
         i = stop
 
 
+def cut_at_spaces(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a text of ``most`` characters and what is left of the last word, or of ``most`` more."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + most, at + 2 * most)
+        end = space.start() if space else min(len(text), at + 2 * most)
+        yield at, end
+        at = end
+
+
 def spread(h: np.ndarray, bits: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _K[1]
     return (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -159,37 +171,25 @@ class LanguageModel:
         at = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
         return np.where(self.lexicon[at] == whole, at + 1, 0)
 
-    def probabilities(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def probabilities(self, scores: np.ndarray, counts: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """Label probabilities of each word by forward-backward over each text.
 
         Texts are cut into segments, whose transfer matrices are multiplied all at once; the
         chain over a text's segments then gives each segment its inflow from both sides. This is
-        the exact recursion, with as many steps as a segment has words.
+        the exact recursion, with as many steps as a segment has words. ``before`` and ``after``
+        are the inflow to all texts, where these are pieces of longer ones.
         """
         size, n = len(self.langs), len(scores)
         if not n:
             return np.zeros((0, size))
-        step = np.exp(self.transitions - self.transitions.max())
-        emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
-        per_text = -(-counts // SEGMENT)
-        first = np.concatenate([[0], np.cumsum(per_text)])
-        segments = int(first[-1])
-        word_first = np.concatenate([[0], np.cumsum(counts)])
-        owner = np.repeat(np.arange(len(counts)), counts)
-        order = np.arange(n) - word_first[owner]
-        row, column = first[owner] + order // SEGMENT, order % SEGMENT
-        there = np.zeros((segments, SEGMENT), bool)
-        there[row, column] = True
-        padded = np.ones((segments, SEGMENT, size))
-        padded[row, column] = emit
-        # Transfer matrix of each segment; words past a text's end change nothing.
-        product = np.broadcast_to(np.eye(size), (segments, size, size)).copy()
-        for t in range(SEGMENT):
-            at = np.flatnonzero(there[:, t])
-            moved = (product[at].reshape(-1, size) @ step).reshape(-1, size, size) * padded[at, t][:, None, :]
-            product[at] = moved / moved.max(axis=(1, 2), keepdims=True)
+        step, padded, there, row, column, first, per_text, product = self.transfers(scores, counts)
+        segments = len(product)
         into = np.full((segments, size), 1.0 / size)
         back = np.ones((segments, size))
+        if before is not None:
+            into[first[:-1]] = before
+        if after is not None:
+            back[first[1:] - 1] = after
         longest = int(per_text.max())
         by_length = np.argsort(-per_text, kind="stable")
         lengths = -per_text[by_length]
@@ -217,6 +217,60 @@ class LanguageModel:
         found = forward[row, column]
         return found / found.sum(axis=1, keepdims=True)
 
+    def transfers(self, scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The segments of some texts' words, and each segment's transfer matrix, scaled."""
+        size, n = len(self.langs), len(scores)
+        step = np.exp(self.transitions - self.transitions.max())
+        emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
+        per_text = -(-counts // SEGMENT)
+        first = np.concatenate([[0], np.cumsum(per_text)])
+        segments = int(first[-1])
+        word_first = np.concatenate([[0], np.cumsum(counts)])
+        owner = np.repeat(np.arange(len(counts)), counts)
+        order = np.arange(n) - word_first[owner]
+        row, column = first[owner] + order // SEGMENT, order % SEGMENT
+        there = np.zeros((segments, SEGMENT), bool)
+        there[row, column] = True
+        padded = np.ones((segments, SEGMENT, size))
+        padded[row, column] = emit
+        # Words past a text's end change nothing.
+        product = np.broadcast_to(np.eye(size), (segments, size, size)).copy()
+        for t in range(SEGMENT):
+            at = np.flatnonzero(there[:, t])
+            moved = (product[at].reshape(-1, size) @ step).reshape(-1, size, size) * padded[at, t][:, None, :]
+            product[at] = moved / moved.max(axis=(1, 2), keepdims=True)
+        return step, padded, there, row, column, first, per_text, product
+
+    def predict_long(self, text: str, most: int) -> tuple[str, float]:
+        """The language and score of one text, from pieces of about ``most`` characters.
+
+        One pass over the pieces leaves a matrix of each, from which the inflow to each piece from
+        both sides follows; a second one works out the probabilities with it. The result is that
+        of the whole text. A run of more than ``most`` characters without white space counts as
+        several words.
+        """
+        size, pieces = len(self.langs), list(cut_at_spaces(text, most))
+        matrices = []
+        for start, stop in pieces:
+            scores, whole = self.emissions(find_words([text[start:stop]])), np.eye(size)
+            for product in self.transfers(scores, np.array([len(scores)]))[-1] if len(scores) else ():
+                whole = whole @ product
+                whole /= whole.max()
+            matrices.append(whole)
+        after, state = [np.ones(size)], np.full(size, 1.0 / size)
+        for whole in reversed(matrices[1:]):
+            moved = whole @ after[-1]
+            after.append(moved / moved.sum())
+        sums, words = np.zeros(size), 0
+        for (start, stop), whole, back in zip(pieces, matrices, reversed(after), strict=True):
+            scores = self.emissions(find_words([text[start:stop]]))
+            sums += self.probabilities(scores, np.array([len(scores)]), state, back).sum(axis=0)
+            words += len(scores)
+            state = state @ whole
+            state /= state.sum()
+        best = int(sums.argmax())
+        return (self.langs[best], min(1.0, float(sums[best] / words))) if words else (UNKNOWN, 0.0)
+
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts' word counts, their words' label probabilities, and the words' places (text, start, end)."""
         scores, counts, places = [], [np.zeros(0, np.int64)], []
@@ -237,9 +291,15 @@ class LanguageModel:
         return counts, np.concatenate(found), np.concatenate(places)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language and score of each text, from as many texts at a time as fit a slice, one at least."""
+        """The language and score of each text, from as many texts at a time as fit a slice, or a piece of one."""
         langs, scores = [], []
-        for i, stop in slices(texts, SLICE_CHARS * FULL_LANGS // max(FULL_LANGS, len(self.langs))):
+        most = SLICE_CHARS * FULL_LANGS // max(FULL_LANGS, len(self.langs))
+        for i, stop in slices(texts, most):
+            if len(texts[i]) > most and self.langs:
+                lang, score = self.predict_long(texts[i], most)
+                langs.append(lang)
+                scores.append(score)
+                continue
             counts, probabilities, _ = self.label(texts[i:stop])
             sums = np.zeros((stop - i, len(self.langs)))
             has = counts > 0
@@ -392,8 +452,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     ``spans=True`` adds ``spans``: runs of words of one most likely language, as (lang, start, end)
     in characters. ``und`` with score 0 stands for texts that are null, empty or without a letter,
     and for all texts if the model knows no language. Map-only: repeated rows and null ids need
-    no care; memory grows with the longest text and the number of languages (for a text's words, a
-    row of numbers each, and for every 32 of them a matrix), not with the number of rows.
+XX
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -415,7 +474,14 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least the score ``least``."""
+    """The rows of ``docs``, all columns, whose text has a language with at least the score ``least``.
+
+    Null and empty texts, and those without a letter, go. Rows are judged one by one: repeated
+    ones share their fate, ids are not looked at, and an empty table gives no rows. A model that
+    knows no language can reject nothing: all rows stay.
+    """
+    if not model.langs:
+        return docs
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +489,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_co
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                langs, scores = own.predict([t or "" for t in batch.column(place).to_pylist()]) if own.langs else ([UNKNOWN] * batch.num_rows, [])
+                langs, scores = own.predict([t or "" for t in batch.column(place).to_pylist()])
                 yield batch.filter(pa.array([lang != UNKNOWN and scores[k] >= least for k, lang in enumerate(langs)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -90,3 +90,16 @@ def test_recall(spark):
         best = {int(ids[i]) for i in np.lexsort((ids, -s.round(12)))[:5]}
         hit, total = hit + len(best & set(got[got.query_id == ids[q]].vec_id)), total + 5
     assert hit / total >= 0.9
+
+
+def test_large_and_tiny_components(spark):
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(40, 4))
+    sizes = [1e200, 1e-200, 1.0, 1e308 / 8, 1e-310]
+    doubles = "vec_id long, embedding array<double>"
+    rows = [(i, (v * sizes[i % 5]).tolist()) for i, v in enumerate(plain)] + [(100, [1e200, 1e-200, 0.0, 0.0]), (101, [1e-200, 0.0, -1e-200, 0.0]), (102, [1e200, 5e199, 0.0, 0.0])]
+    got = N.nearest(spark.createDataFrame(rows, doubles), every=2, share=1.0).collect()
+    assert len(got) == 5 * sum(i % 2 == 0 for i, _ in rows) and all(np.isfinite(r.score) for r in got)
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    assert [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in sorted(got)] == [(q, n, i, round(s, 6)) for q, n, i, s in brute(scaled, 5, 2)]
+    assert round(next(r.score for r in got if r.query_id == 100 and r.vec_id == 102), 6) == round(2 / 5**0.5, 6)

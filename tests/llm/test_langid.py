@@ -1,6 +1,9 @@
 import itertools
 import os
+import pickle
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -142,3 +145,33 @@ def test_memory_with_many_languages():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 512 and peak < 500e6
+
+
+def test_long_texts_by_the_piece_are_the_whole(own, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = (EN + FR + DE).split()
+    texts = [" ".join(rng.choice(vocabulary, n)) + tail for n, tail in ((3000, ""), (800, "\n\n 123 -- "), (1500, " end"))] + ["1 2 " * 2000, "x" * 5000]
+    whole = own.predict(texts)
+    monkeypatch.setattr(L, "SLICE_CHARS", 700)
+    pieces = own.predict(texts)
+    assert pieces[0] == whole[0] and pieces[0][3] == L.UNKNOWN
+    assert np.allclose(pieces[1][:4], whole[1][:4], atol=1e-6)
+    for text in texts:
+        cuts = list(L.cut_at_spaces(text, 700))
+        assert "".join(text[a:b] for a, b in cuts) == text and max(b - a for a, b in cuts) <= 1400
+
+
+def test_memory_of_one_long_text(own, tmp_path):
+    """A text of 10 MB in a process of its own: what is held besides the text does not grow with it."""
+    (tmp_path / "model").write_bytes(pickle.dumps(own))
+    script = (
+        "import pickle, resource, sys\nfrom colloquy.llm import langid as L\nown = pickle.load(open(sys.argv[1], 'rb'))\n"
+        "text = 'der hund und die katze sind im haus ' * (int(sys.argv[2]) // 36)\nown.predict([text])\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    short, long = (int(subprocess.run([sys.executable, "-c", script, str(tmp_path / "model"), str(size)], capture_output=True, text=True, check=True, timeout=300).stdout) for size in (2 * L.SLICE_CHARS, 10_000_000))
+    assert long - short < 100
+
+
+def test_a_model_without_languages_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None)], "doc_id long, text string")
+    assert L.keep_identified(docs, L.train([], 1, 1), 0.4).count() == 3
