@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from colloquy.sources.shared import materialise
 
 
-def global_positions(df: DataFrame, groups: Sequence[str], pos: str) -> DataFrame:
+def global_positions(df: DataFrame, groups: Sequence[str], pos: str, counted: bool = False) -> DataFrame:
     """With ``position`` from 0: the row's place among those of its first group column, in order of the others and ``pos``.
 
+    ``counted`` says that ``pos`` counts each group's rows from 0 already, as exploding a list does;
+    otherwise they are numbered in its order.
     The rows are written once and never sorted as a whole: only the groups' sizes are range
     partitioned, and totals by partition give each group's first place. Rows of one group, such as
     the entries of one answer, are numbered together; of equal ``pos`` either may come first.
@@ -30,7 +32,8 @@ def global_positions(df: DataFrame, groups: Sequence[str], pos: str) -> DataFram
     firsts = totals.select(within, "_part", before("_rows", within, "_part").alias("_first"))
     inside = ranged.withColumn("_start", before("_rows", within, "_part", "groups"))
     starts = inside.join(firsts, [within, "_part"]).select(*groups, (F.col("_first") + F.col("_start")).alias("_before"))
-    numbered = written.withColumn("_inside", F.row_number().over(Window.partitionBy(*groups).orderBy(pos)))
+    place = F.col(pos) if counted else F.row_number().over(Window.partitionBy(*groups).orderBy(pos)) - 1
+    numbered = written.withColumn("_inside", place)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups]
     placed = numbered.alias("a").join(starts.alias("b"), same)
-    return placed.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("b._before") + F.col("a._inside") - 1).alias("position"))
+    return placed.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("b._before") + F.col("a._inside")).alias("position"))

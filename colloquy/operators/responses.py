@@ -80,9 +80,10 @@ def entries(answered: DataFrame, profile: Profile, keys: Sequence[str]) -> DataF
 def merged(found: DataFrame, order: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
     """Rows (list, position, entry, also): all entries of a list in order of customer, chunk and place, nothing removed.
 
-    An answer's first position comes from the sizes of those before it, so no list goes through one task.
+    An answer's first position comes from the sizes of those before it, so no list goes through one
+    task; ``pos`` says where in its list an entry is.
     """
-    return global_positions(found, ["list", *order], "pos").select("list", "position", "entry", *also)
+    return global_positions(found, ["list", *order], "pos", counted=True).select("list", "position", "entry", *also)
 
 
 def typed(found: DataFrame, profile: Profile, name: str, keys: Sequence[str]) -> DataFrame:
