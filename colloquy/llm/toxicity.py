@@ -182,7 +182,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    """The rows of ``docs``, all columns, whose text scores below the threshold.
+
+    Null text counts as empty; it has the score of a text without features. Rows are judged one by
+    one: repeated ones share their fate, ids are not looked at, and an empty table gives no rows.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
