@@ -213,7 +213,8 @@ class MemberReader(DataSourceReader):
             return [*out, Part([(path, mine, None)])] if mine else out
 
         with ThreadPoolExecutor(16) as pool:
-            return parts + [p for found in pool.map(looked_into, [path for path, size in files if size > self.whole]) for p in found]
+            parts += [p for found in pool.map(looked_into, [path for path, size in files if size > self.whole]) for p in found]
+        return parts or [Part([])]  # without any, the reader would be called for a part that isn't there
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, base = self.source()
