@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.sources.shared import materialise, scratch_path
 
-__all__ = ["held_out", "materialise", "read_table", "scratch_path"]
+__all__ = ["hashed_span", "held_out", "materialise", "read_table", "scratch_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +19,9 @@ def held_out(doc_id: Column | str) -> Column:
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     fold = F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(5))
     return F.coalesce(fold == 0, F.lit(True))
+
+
+def hashed_span(text: str, most_chars: int, key: str) -> Column:
+    """The whole text, or of a longer one ``most_chars`` characters from a place that the key's hash gives."""
+    places = F.greatest(F.lit(1), F.length(text) - most_chars + 1)
+    return F.substring(F.col(text), (F.pmod(F.xxhash64(key, F.lit(1)), places) + 1).cast("int"), F.lit(most_chars))

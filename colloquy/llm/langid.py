@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import hashed_span
+
 FEATURES = 1 << 17
-#: Most training documents of one language, and their greatest length: what the driver may hold.
+#: Most training documents of one language, most characters of one, and most documents in all: what the driver may hold.
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 12_000
-#: Most training documents in all.
 SAMPLE_TOTAL = 2_000
+#: Languages that are learned, those of most documents.
+MOST_LANGS = 1_000
 #: Values of the hash that chooses them.
 HASHES = 1 << 40
 #: Languages that have FEATURES slots each and texts in full slices; more languages share fewer slots and have smaller slices.
@@ -312,40 +315,38 @@ class LanguageModel:
         return langs, scores
 
 
-def training_sample(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded sample of every language: whole texts, those of least hash in each language.
+def training_sample(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str, total: int, most_langs: int) -> list[tuple[str, str]]:
+    """A bounded sample of every language: spans of the texts of least hash in each.
 
-    Where a language has too few texts of at most ``most_chars``, the beginnings of longer ones
-    are taken after them. The languages' counts say how small a hash has to be to come into
-    question, so that no more than a few times the sample is shuffled, whatever the table's size.
+    The languages' counts say how small a hash has to be to come into question, so that no more
+    than a few times the sample is shuffled, whatever the table's size.
     """
-    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    long = F.length("text") > most_chars
-    counts = usable.groupBy("lang").agg(F.count("*").alias("every"), F.count(F.when(~long, 1)).alias("short")).collect()
+    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull())
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(most_langs, total)).collect()
     if not counts:
         return []
-    each = max(1, min(per_lang, SAMPLE_TOTAL // len(counts)))
-    place = F.pmod(F.xxhash64("k", "text"), F.lit(HASHES))
-    rules = []
-    for lang, every, short in counts:
-        n = short if short >= each else every
-        rules.append((lang, short < each, HASHES if n <= 8 * each else -(-HASHES * 4 * each // n)))
-    rules = F.broadcast(docs.sparkSession.createDataFrame(rules, "lang string, all boolean, below long"))
-    ranked = Window.partitionBy("lang").orderBy("long", "h", "k", "text")
-    chosen = usable.join(rules, "lang").withColumn("long", long).withColumn("h", place).where((F.col("h") < F.col("below")) & (F.col("all") | ~F.col("long")))
-    cut = chosen.select("lang", F.substring("text", 1, most_chars).alias("text"), "long", "h", "k")
+    each = min(per_lang, total // len(counts))
+    rules = [(lang, HASHES if n <= 8 * each else -(-HASHES * 4 * each // n)) for lang, n in counts]
+    rules = F.broadcast(docs.sparkSession.createDataFrame(rules, "lang string, below long"))
+    ranked = Window.partitionBy("lang").orderBy("h", "k", "text")
+    placed = own.where(F.col("text").isNotNull()).join(rules, "lang").withColumn("h", F.pmod(F.xxhash64("k", "text"), F.lit(HASHES)))
+    cut = placed.where(F.col("h") < F.col("below")).select("lang", hashed_span("text", most_chars, "h").alias("text"), "h", "k")
     rows = cut.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= each)
     return sorted((r.lang, r.text) for r in rows.select("lang", "text").collect())
 
 
-def fit_languages(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = 4, seed: int = 7) -> LanguageModel:
-    """Learn every language, from at most ``per_lang`` documents of each; SAMPLE_TOTAL in all, or one of each language.
+def fit_languages(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = 4, seed: int = 7, total: int = SAMPLE_TOTAL, most_langs: int = MOST_LANGS) -> LanguageModel:
+    """Learn the ``most_langs`` languages of most documents, from at most ``per_lang`` of each and ``total`` in all.
+
+    Texts of all lengths come in alike; of one with more than ``most_chars`` characters a span of
+    so many is learned from, which begins anywhere, by hash. Documents of rarer languages teach
+    nothing, and are predicted as one of the others.
 
     Spans of documents in different languages are spliced into training sequences, so that
     changes of language are seen. Rows without text or language teach nothing; without any
     usable row the model knows no language and every text is undetermined.
     """
-    return train(training_sample(docs, per_lang, most_chars, id_col, text_col, lang_col), epochs, seed)
+    return train(training_sample(docs, per_lang, most_chars, id_col, text_col, lang_col, total, most_langs), epochs, seed)
 
 
 def train(sample: list[tuple[str, str]], epochs: int, seed: int) -> LanguageModel:

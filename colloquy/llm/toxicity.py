@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialise
+from colloquy.llm.common import hashed_span, materialise
 
 SLOTS = 1 << 20
-#: Most training documents with label 1 and with label 0, and their greatest length: what the driver may hold.
+#: Most training documents with label 1 and with label 0, and most characters of one: what the driver may hold.
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 6_000
 SAMPLE_CHARS = 12_000
@@ -131,36 +131,35 @@ def train(sample: list[tuple[int, str]], epochs: int = 6, alpha: float = 1.0, be
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int, most_chars: int) -> list[tuple[int, str]]:
-    """A bounded sample of the labelled documents: of each label those of least hashed id, short texts before long ones.
+    """A bounded sample of the labelled documents: of each label those of least hashed id, a span of each text.
 
     Labels are joined to the documents' ids before anything is chosen, so labels of other
-    documents take no place. Only ids are shuffled; the texts of the chosen ids are read after that.
+    documents take no place. Only ids are shuffled; texts are read once, those of the chosen ids.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
-    usable = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("k").isNotNull() & F.col("text").isNotNull())
-    ids = usable.groupBy("k").agg(F.min(F.length("text") > most_chars).alias("long")).join(known, "k")
-    ids = materialise(ids.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES))))
+    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("k").isNotNull())
+    ids = materialise(own.select("k").distinct().join(known, "k").withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES))))
     # The labels' counts say how small a hash has to be to come into question, so that few rows are ranked.
     wanted = F.lit(False)
     most = {1: most_toxic, 0: most_clean}
-    for label, every, short in ids.groupBy("label").agg(F.count("*"), F.count(F.when(~F.col("long"), 1))).collect():
-        n = short if short >= most[label] else every
+    for label, n in ids.groupBy("label").count().collect():
         below = HASHES if n <= 8 * most[label] else -(-HASHES * 4 * most[label] // n)
-        wanted = wanted | ((F.col("label") == label) & (F.col("h") < below) & (F.lit(short < most[label]) | ~F.col("long")))
-    ranked = Window.partitionBy("label").orderBy("long", "h", "k")
+        wanted = wanted | ((F.col("label") == label) & (F.col("h") < below))
+    ranked = Window.partitionBy("label").orderBy("h", "k")
     enough = F.when(F.col("label") == 1, most_toxic).otherwise(most_clean)
     chosen = ids.where(wanted).withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= max(most.values())) & (F.col("rank") <= enough)).select("k", "label")
     # At most most_toxic + most_clean rows of two numbers; a repeated id counts once.
-    rows = usable.join(F.broadcast(chosen), "k").groupBy("k", "label").agg(F.min(F.substring("text", 1, most_chars)).alias("text"))
+    rows = own.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "k").groupBy("k", "label").agg(F.min(hashed_span("text", most_chars, "k")).alias("text"))
     return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (-r.label, str(r.k)))]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN, most_chars: int = SAMPLE_CHARS, **options) -> ToxicityModel:
     """Learn from a bounded sample of the labelled rows.
 
-    Texts of more than ``most_chars`` characters are learned from only where shorter ones are too
-    few, and then from as many of their first characters. Null or missing labels, ids and texts
-    teach nothing; an id labelled more than once counts once, as toxic if any of its labels is.
+    Texts of all lengths come in alike; of one with more than ``most_chars`` characters a span of
+    so many is learned from, which begins anywhere, by hash. Null or missing labels, ids and texts
+    teach nothing, though a null text may take a place in the sample; an id labelled more than once
+    counts once, as toxic if any of its labels is.
     """
     return train(training_sample(docs, labels, id_col, text_col, label_col, most_toxic, most_clean, most_chars), **options)
 

@@ -134,6 +134,17 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert m.predict(ask)[0] == got[0]
 
 
+def test_the_sample_is_bounded_whatever_the_languages(spark):
+    rows = [(i, f"text {i} " + "x" * 300, f"l{i % 40}") for i in range(400)] + [(1000 + i, "more", "l7") for i in range(5)] + [(None, None, "l7"), (9, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = L.training_sample(docs, 250, 100, "doc_id", "text", "lang", 2000, 1000)
+    assert len(every) == 405 and all(len(t) <= 100 for _, t in every)
+    assert len({t.startswith("text") for _, t in every}) == 2  # spans begin anywhere
+    few = L.training_sample(docs, 250, 100, "doc_id", "text", "lang", 20, 1000)
+    assert len(few) == 20 and len({lang for lang, _ in few}) == 20 and "l7" in {lang for lang, _ in few}
+    assert {lang for lang, _ in L.training_sample(docs, 3, 100, "doc_id", "text", "lang", 2000, 2)} == {"l7", "l0"}
+
+
 def test_memory_with_many_languages():
     rng = np.random.default_rng(5)
     langs = [f"l{k:02}" for k in range(64)]

@@ -94,8 +94,19 @@ def test_labels_of_other_documents_take_no_place(spark):
     assert all((label == 1) == text.startswith("vile") for label, text in sample)
     least = X.training_sample(docs, labels, "doc_id", "text", "toxic", 5, 3, 1000)  # by hashes below a bound
     assert sorted(label for label, _ in least) == [0] * 3 + [1] * 5
-    few = X.training_sample(docs, labels.where("doc_id < 10"), "doc_id", "text", "toxic", 150, 120, 4)
-    assert sorted(few) == [(0, "kind")] * 5 + [(1, "vile")] * 5  # long texts only where there are no others
+
+
+def test_long_texts_come_in_alike_by_spans_from_anywhere(spark):
+    text = "".join(chr(0x4E00 + k) for k in range(1000))
+    docs = spark.createDataFrame([(i, text if i < 60 else "short") for i in range(120)] + [(200, None)], "doc_id long, text string")
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    sample = [t for _, t in X.training_sample(docs, labels, "doc_id", "text", "toxic", 200, 10, 50)]
+    spans = [t for t in sample if t != "short"]
+    assert len(sample) == 120 and len(spans) == 60 and all(len(t) == 50 and t in text for t in spans)
+    places = [text.index(t) for t in spans]
+    assert min(places) < 200 and max(places) > 750 and len(set(places)) > 40
+    half = [t for _, t in X.training_sample(docs, labels, "doc_id", "text", "toxic", 60, 10, 50)]
+    assert len(half) in (59, 60) and 15 < sum(t != "short" for t in half) < 45  # the null text may take a place; the short ones don't come first
 
 
 def test_no_labels(spark):
