@@ -12,14 +12,17 @@ target recall; one table more holds the windows' plain bytes, so that no exact p
 on chance. What meets is verified by exact edit distance against the whole item.
 
 Benchmarks are made from templates: a window that many items share says little about any of
-them. Items that have windows of their own are found by these, and are left out of the crowded
-places of each table; the trials that set the walks are run on the tables as they then are.
+them. Such a place of a table names its items as one group, which meets a text once; the
+distances of all its items are then taken together, item by item character in sorted order, so
+that what items begin with alike is worked out once, and items go as soon as they are too far.
+No item is left out of any place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -31,8 +34,12 @@ from pyspark.sql import functions as F
 MOST_EDITS = 0.15
 #: Items with fewer normalised characters are found only word by word as they are, or not at all.
 SHORTEST = 16
-#: Items in one place of a table from which on it is crowded.
+#: Items in one place of a table from which on they are verified together.
 CROWDED = 16
+#: Characters after which items that are too far leave a group, words of bits a group holds, and its longest region in spans.
+LEAVE = 8
+GROUP_WORDS = 1 << 20
+GROUP_SPANS = 4
 #: Length of the character grams that rule out most chance meetings before the exact distance is taken.
 GRAM = 5
 #: Share of items with the most edits that walks are added for, by trial on TRIALS edited items of a class.
@@ -90,32 +97,47 @@ def edit_distance_within(pattern: str, text: str) -> int:
 
 @dataclass
 class Table:
-    """Hashes of one sampling of one walk, sorted, the window of each, and which first bits they have."""
+    """Hashes of one sampling of one walk, sorted, the entry of each, and which first bits they have.
+
+    An entry is a window or, behind these, a place that a group shares.
+    """
 
     steps: frozenset[int]
     hashes: np.ndarray
-    window: np.ndarray
+    entry: np.ndarray
     shift: np.uint64
     bitmap: np.ndarray
 
     def meetings(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``hashes`` and windows of the index with the same hash."""
+        """Places in ``hashes`` and entries of the index with the same hash."""
         at = np.flatnonzero(self.bitmap.take((hashes >> self.shift).astype(np.int64)))
         low, high = (np.searchsorted(self.hashes, hashes[at], side=s) for s in ("left", "right"))
         many = high - low
-        return np.repeat(at, many), self.window[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        return np.repeat(at, many), self.entry[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+
+@dataclass
+class Group:
+    """Items that share a place, by rank, and how far from the first one's beginning their regions reach."""
+
+    ranks: np.ndarray
+    before: int
+    after: int
+    step: int
 
 
 @dataclass
 class WindowClass:
-    """Items of one window size: where their windows are, and their tables by walk, the plain bytes first."""
+    """Items of one window size: where their windows are, and their tables by walk, the plain bytes first.
+
+    ``item`` and ``offset`` go on, behind the windows, with the groups as -1, -2, ... and the place in their first items.
+    """
 
     size: int
     item: np.ndarray
     offset: np.ndarray
     moves: list[np.ndarray]  # for each walk: (steps, 256) bits
     tables: list[list[Table]]
-    elsewhere: np.ndarray | None = None  # whether the window's item has windows that are not crowded
 
 
 def walked(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, samples: list[frozenset[int]]) -> np.ndarray:
@@ -146,6 +168,14 @@ class PassageIndex:
         self.short = {t: k for k, t in enumerate(self.texts) if 0 < len(t) < SHORTEST}
         self.steps = np.array([max(1, int(most_edits * len(t) / 2)) for t in self.texts], np.int64)
         self.kept_grams: dict[int, set[str]] = {}
+        self.allowed = np.array([int(most_edits * len(t)) for t in self.texts], np.int64)
+        self.n_bytes = np.array([len(t.encode()) for t in self.texts], np.int64)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        # Room for the edits and for the rounding of the place, in bytes.
+        self.slack = (self.allowed + self.allowed // 2 + 4) * self.n_bytes // np.maximum(1, self.lengths) + 8
+        self.sort_texts()
+        self.groups: list[Group] = []
+        known: dict[tuple[bytes, bytes], int] = {}
         by_size: dict[int, list[int]] = {}
         for k, text in enumerate(self.texts):
             if len(text) >= SHORTEST:
@@ -160,37 +190,70 @@ class PassageIndex:
             owner, start = owner[whole], start[whole]
             own = WindowClass(size, np.array(members, np.int32)[owner], (start - begins[owner]).astype(np.int32), [], [])
             self.classes.append(own)
-            self.add_walk(own, data, start, np.ones((size, 256), np.int8), [frozenset(range(size))])
+            self.add_walk(own, data, start, np.ones((size, 256), np.int8), [frozenset(range(size))], known)
             # Walks until the target is reached, on items with the most edits at random.
             tried = [int(k) for k in rng.choice(members, TRIALS)]
             edited = [edited_at_random(self.texts[k], int(most_edits * len(self.texts[k])), rng) for k in tried]
             place = laid_out([t.encode() for t in edited], 2 * size)
             seen = np.zeros(TRIALS, bool)
             while True:
-                for text, item, _ in zip(*(x.tolist() for x in self.met(own, len(own.moves) - 1, *place, window_starts(place[0]))), strict=True):
-                    seen[text] |= item == tried[text]
+                text, item, _ = self.met(own, len(own.moves) - 1, *place, window_starts(place[0]))
+                for text, item in np.unique(np.stack([text, item]), axis=1).T.tolist():
+                    seen[text] |= item == tried[text] if item >= 0 else self.rank[tried[text]] in self.groups[-1 - item].ranks
                 if seen.mean() >= target_recall or len(own.moves) > MOST_WALKS:
                     break
                 steps = size + size // 2  # moves over three quarters of the window, give or take
                 samples = [frozenset(rng.choice(steps, min(sampled, steps // 2), replace=False).tolist()) for _ in range(tables)]
-                self.add_walk(own, data, start, rng.integers(0, 2, (steps, 256)).astype(np.int8), samples)
-
-    @staticmethod
-    def add_walk(own: WindowClass, data: np.ndarray, start: np.ndarray, moves: np.ndarray, samples: list[frozenset[int]]) -> None:
+                self.add_walk(own, data, start, rng.integers(0, 2, (steps, 256)).astype(np.int8), samples, known)
+
+    def sort_texts(self) -> None:
+        """The items' ranks by text, with the characters that each shares with the one before it."""
+        self.order = np.array(sorted(range(len(self.texts)), key=self.texts.__getitem__), np.int64)
+        self.rank = np.argsort(self.order)
+        points = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet, self.codes = np.unique(points, return_inverse=True)
+        self.codes = self.codes.astype(np.int32)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.shared = np.full(len(self.texts), -1, np.int64)
+        for r in range(1, len(self.order)):
+            a, b = self.order[r - 1], self.order[r]
+            n = min(self.lengths[a], self.lengths[b])
+            other = self.codes[self.begin[a] : self.begin[a] + n] != self.codes[self.begin[b] : self.begin[b] + n]
+            self.shared[r] = other.argmax() if other.any() else n
+
+    def add_walk(self, own: WindowClass, data: np.ndarray, start: np.ndarray, moves: np.ndarray, samples: list[frozenset[int]], known: dict[tuple[bytes, bytes], int]) -> None:
         bits = max(BITMAP, (4 * len(start)).bit_length())
         made = []
         for s, hashes in zip(samples, walked(data, start, moves, samples), strict=True):
-            full = crowded(hashes, own.item)
-            if own.elsewhere is None:
-                own.elsewhere = np.isin(own.item, own.item[~full])
-            kept = np.flatnonzero(~(full & own.elsewhere))
-            order, shift = kept[np.argsort(hashes[kept], kind="stable")], np.uint64(64 - bits)
+            full = crowded(hashes, own.item[: len(start)])
+            places, entries = np.split(np.flatnonzero(full)[np.argsort(hashes[full], kind="stable")], np.flatnonzero(np.diff(np.sort(hashes[full]))) + 1), []
+            for windows in places if full.any() else ():
+                entries.append((hashes[windows[0]], *self.group(own.item[windows], own.offset[windows], known)))
+            kept = np.flatnonzero(~full)
+            every = np.concatenate([hashes[kept], np.array([e[0] for e in entries], np.uint64)])
+            entry = np.concatenate([kept, len(own.item) + np.arange(len(entries))])
+            own.item = np.concatenate([own.item, np.array([-1 - e[1] for e in entries], np.int32)])
+            own.offset = np.concatenate([own.offset, np.array([e[2] for e in entries], np.int32)])
+            order, shift = np.argsort(every, kind="stable"), np.uint64(64 - bits)
             bitmap = np.zeros(1 << bits, bool)
-            bitmap[(hashes[kept] >> shift).astype(np.int64)] = True
-            made.append(Table(s, hashes[order], order.astype(np.int32), shift, bitmap))
+            bitmap[(every >> shift).astype(np.int64)] = True
+            made.append(Table(s, every[order], entry[order].astype(np.int32), shift, bitmap))
         own.moves.append(moves)
         own.tables.append(made)
 
+    def group(self, item: np.ndarray, offset: np.ndarray, known: dict[tuple[bytes, bytes], int]) -> tuple[int, int]:
+        """The group of these items with these distances between their places, and the place in the first item."""
+        order = np.lexsort((offset, item))
+        item, offset = item[order], offset[order].astype(np.int64)
+        base = int(offset[0])
+        key = item.tobytes(), (offset - base).tobytes()
+        if key not in known:
+            known[key] = len(self.groups)
+            before = int((offset - base + self.slack[item]).max())
+            after = int((self.n_bytes[item] - (offset - base) + self.slack[item]).max())
+            self.groups.append(Group(np.unique(self.rank[item]), before, after, int(self.steps[item].min())))
+        return known[key], base
+
     @staticmethod
     def window_size(text: str) -> int:
         """The largest size of which the item has room for ROOM windows."""
@@ -207,11 +270,17 @@ class PassageIndex:
             while stop < len(normal) and size + len(normal[stop]) <= SLICE_BYTES:
                 size += len(normal[stop])
                 stop += 1
+            together: dict[int, list[tuple[int, int]]] = {}
             for text, item, at in self.candidates(normal[i:stop]):
-                if found.get((i + text, item)) != 0:
+                if item < 0:
+                    together.setdefault(i + text, []).append((-1 - item, at))
+                elif found.get((i + text, item)) != 0:
                     edits = self.verified(normal[i + text], item, at)
                     if edits is not None:
                         found[i + text, item] = min(edits, found.get((i + text, item), edits))
+            for text, met in together.items():
+                for item, edits in self.verified_together(normal[text], met):
+                    found[text, item] = min(edits, found.get((text, item), edits))
             i = stop
         return [(text, item, edits) for (text, item), edits in sorted(found.items())]
 
@@ -224,7 +293,7 @@ class PassageIndex:
         return {(i, k): 0 for i, text in enumerate(whole) for _, k in words.iter(f" {text} ")}
 
     def candidates(self, normal: list[bytes]) -> set[tuple[int, int, int]]:
-        """(text, item, place where the item would begin), places in steps of the edits allowed."""
+        """(text, item, place where the item would begin), places in steps of the edits allowed; groups as -1, -2, ..."""
         data, begins = laid_out(normal, 2 * max((c.size for c in self.classes), default=0))
         starts = window_starts(data)
         parts = [np.zeros((3, 0), np.int64)]
@@ -234,19 +303,21 @@ class PassageIndex:
         return {tuple(x) for x in np.concatenate(parts, axis=1).T.tolist()}
 
     def met(self, own: WindowClass, walk: int, data: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(texts, items, places) of what meets in one walk."""
+        """(texts, items or groups, places) of what meets in one walk."""
         tables, found = own.tables[walk], []
         for b in range(0, len(starts), BLOCK):
             block = starts[b : b + BLOCK]
             for table, hashes in zip(tables, walked(data, block, own.moves[walk], [t.steps for t in tables]), strict=True):
-                at, windows = table.meetings(hashes)
-                found.append((block[at], windows))
+                at, entries = table.meetings(hashes)
+                found.append((block[at], entries))
         if not found:
             return (np.zeros(0, np.int64),) * 3
-        at, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-        text, item = np.searchsorted(begins, at, side="right") - 1, own.item[windows]
-        step = self.steps[item]
-        return text, item.astype(np.int64), (at - begins[text] - own.offset[windows]) // step * step
+        at, entries = (np.concatenate(x) for x in zip(*found, strict=True))
+        text, item = np.searchsorted(begins, at, side="right") - 1, own.item[entries].astype(np.int64)
+        step = np.where(item < 0, 1, self.steps[item])
+        if self.groups:
+            step = np.where(item < 0, np.array([g.step for g in self.groups])[np.where(item < 0, -1 - item, 0)], step)
+        return text, item, (at - begins[text] - own.offset[entries]) // step * step
 
     def grams(self, item: int) -> set[str]:
         if item not in self.kept_grams:
@@ -258,16 +329,126 @@ class PassageIndex:
 
     def verified(self, normal: bytes, item: int, at: int) -> int | None:
         text = self.texts[item]
-        allowed = int(self.most_edits * len(text))
-        # Room for the edits and for the rounding of the place, in bytes.
-        slack = int((allowed + allowed // 2 + 4) * len(text.encode()) / len(text)) + 8
-        region = normal[max(0, at - slack) : max(0, at) + len(text.encode()) + slack].decode("utf-8", "ignore")
+        allowed, slack = int(self.allowed[item]), int(self.slack[item])
+        region = normal[max(0, at - slack) : max(0, at) + int(self.n_bytes[item]) + slack].decode("utf-8", "ignore")
         # An edit spoils at most GRAM of the item's grams.
         if len(self.grams(item).difference([region[i : i + GRAM] for i in range(len(region))])) > GRAM * allowed:
             return None
         edits = edit_distance_within(text, region)
         return edits if edits <= allowed else None
 
+    def verified_together(self, normal: bytes, met: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """(item, edits) of the groups' items that are near enough to the text at the places where the groups met it."""
+        regions: list[list[int]] = []
+        for g, at in sorted(met):
+            start, stop = max(0, at - self.groups[g].before), min(len(normal), max(0, at) + self.groups[g].after)
+            most = GROUP_SPANS * (self.groups[g].before + self.groups[g].after)
+            if regions and regions[-1][0] == g and start <= regions[-1][2] and stop - regions[-1][1] <= most:
+                regions[-1][2] = max(stop, regions[-1][2])
+            elif stop > start:
+                regions.append([g, start, stop])
+        # Items of several groups are looked for once in a region that holds the others.
+        done = np.full((2, len(self.texts)), -1, np.int64)
+        for g, start, stop in sorted(regions, key=lambda r: (r[1] - r[2], r)):
+            ranks = self.groups[g].ranks
+            ranks = ranks[(done[0, ranks] > start) | (done[1, ranks] < stop)]
+            done[0, ranks], done[1, ranks] = start, stop
+            region = normal[start:stop].decode("utf-8", "ignore")
+            most = max(1, GROUP_WORDS // (len(region) // 64 + 1))
+            for k in range(0, len(ranks), most):
+                edits = self.edits_together(ranks[k : k + most], region)
+                near = np.flatnonzero(edits >= 0)
+                yield from zip(self.order[ranks[k + near]].tolist(), edits[near].tolist(), strict=True)
+
+    def edits_together(self, ranks: np.ndarray, region: str) -> np.ndarray:
+        """Least edit distance of each item, by ascending rank, to any part of the region; -1 if more than allowed.
+
+        Bits go along the region and steps along the items; items that begin alike share a state.
+        """
+        items = self.order[ranks]
+        begin, length, allowed = self.begin[items], self.lengths[items], self.allowed[items]
+        masks, local = self.masks(region)
+        result = np.full(len(items), -1, np.int64)
+        alive, shared = np.arange(len(items)), thinned(self.shared, ranks)
+        node, up, down = np.zeros(len(items), np.int64), *np.zeros((2, len(masks), 1), np.uint64)
+        step, left = 0, False
+        while len(alive):
+            new = shared <= step
+            first = np.flatnonzero(new)
+            if left or len(first) != up.shape[1]:
+                up, down = up[:, node[first]], down[:, node[first]]
+                node, left = np.cumsum(new) - 1, False
+            up, down = advanced(up, down, masks[:, local[self.codes[begin[alive[first]] + step]]])
+            step += 1
+            ends = length[alive] == step
+            if ends.any():
+                at = np.flatnonzero(ends)
+                edits = step + lowest(up[:, node[at]], down[:, node[at]])
+                result[alive[at]] = np.where(edits <= allowed[alive[at]], edits, -1)
+            if step % LEAVE == 0:
+                ends |= (step + lowest(up, down))[node] > allowed[alive]
+            if ends.any():
+                kept, left = np.flatnonzero(~ends), True
+                alive, node, shared = alive[kept], node[kept], thinned(shared, kept)
+        return result
+
+    def masks(self, region: str) -> tuple[np.ndarray, np.ndarray]:
+        """(words, characters) bits of where each character is in the region, and the column of each letter of the alphabet; 0 is nowhere."""
+        points = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        places = np.flatnonzero(self.alphabet[at] == points)
+        letters, column = np.unique(at[places], return_inverse=True)
+        local = np.zeros(len(self.alphabet), np.int32)
+        local[letters] = np.arange(1, len(letters) + 1)
+        masks = np.zeros((len(points) // 64 + 1, len(letters) + 1), np.uint64)
+        np.bitwise_or.at(masks, (places >> 6, column + 1), np.uint64(1) << (places & 63).astype(np.uint64))
+        return masks, local
+
+
+def thinned(shared: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Characters that each kept text shares with the kept one before it, from those of neighbours."""
+    if not len(kept):
+        return shared[:0]
+    found = np.minimum.reduceat(shared[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
+    found[0] = -1
+    return found
+
+
+def advanced(up: np.ndarray, down: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the next rows of (words, states) distances rise and fall by one along the region."""
+    level, carry = match & up, np.zeros(up.shape[1], np.uint64)
+    for own, word in zip(level, up, strict=True):
+        own += word
+        over = own < word
+        own += carry
+        carry = (over | (own < carry)).astype(np.uint64)
+    level = (level ^ up) | match
+    either = match | down
+    rise, fall = down | ~(level | up), up & level
+    top = np.uint64(63)
+    rise_in, fall_in = rise[:-1] >> top, fall[:-1] >> top
+    rise, fall = rise << np.uint64(1), fall << np.uint64(1)
+    rise[0] |= np.uint64(1)  # leaving out an item's character costs one
+    rise[1:] |= rise_in
+    fall[1:] |= fall_in
+    return fall | ~(either | rise), rise & either
+
+
+@cache
+def byte_sums() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of rises and byte of falls their sum, and the least sum on the way."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int8)
+    sums = np.cumsum(bits[:, None, :] - bits[None, :, :], axis=2, dtype=np.int8).reshape(1 << 16, 8)
+    return sums[:, -1].copy(), sums.min(axis=1)
+
+
+def lowest(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Least distance of each state's row, against that of its beginning."""
+    total, least = byte_sums()
+    at = np.ascontiguousarray(up.T).view(np.uint8).astype(np.uint16) << np.uint16(8) | np.ascontiguousarray(down.T).view(np.uint8)
+    sums = total[at].astype(np.int32)
+    return np.minimum(0, (np.cumsum(sums, axis=1) - sums + least[at]).min(axis=1))
+
 
 def crowded(hashes: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Which windows have a hash that windows of more than CROWDED items have."""

@@ -34,6 +34,16 @@ def test_edit_distance(pattern, text):
     assert D.edit_distance_within(pattern, text) == slow_distance(pattern, text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=40), min_size=1, max_size=30), st.text("abcd", min_size=1, max_size=150), st.text("abc", max_size=30))
+def test_edit_distances_of_many_items(texts, region, start):
+    index = D.PassageIndex([(i, start + t) for i, t in enumerate(texts)], most_edits=0.4)
+    ranks = np.arange(len(index.texts))[:: 1 + len(region) % 3]
+    got = index.edits_together(ranks, region).tolist()
+    want = [slow_distance(index.texts[i], region) for i in index.order[ranks]]
+    assert got == [e if e <= int(0.4 * len(index.texts[i])) else -1 for e, i in zip(want, index.order[ranks], strict=True)]
+
+
 def edited(text, edits, source):
     y = list(text)
     for _ in range(edits):
@@ -144,6 +154,22 @@ def test_items_made_from_one_template():
         assert np.mean([(i, k) in got for i, (k, _) in enumerate(planted)]) >= least
 
 
+def test_edits_gathered_in_one_part_of_items_from_a_template():
+    source = random.Random(13)
+    template = prose(60, source)[:200]
+    own = [(i, f"{template[:145]} {prose(18, source)[:120]}") for i in range(3000)]
+    slots = [(i, f"{template[:100]} {prose(8, source)[:30]} {template[100:]}") for i in range(600)]
+    for items, start, stop, changes in ((own, 146, 266, (20, 30, 38)), (slots, 101, 131, (15,))):
+        index = D.PassageIndex(items)
+        for edits in changes:
+            texts = []
+            for k in range(0, len(items), len(items) // 40):
+                t = items[k][1]
+                texts.append((k, f"{prose(20, source)} {t[:start]}{edited(t[start:stop], edits, source)}{t[stop:]} {prose(20, source)}"))
+            got = {(i, index.ids[k][0]) for i, k, _ in index.matches([t for _, t in texts])}
+            assert np.mean([(i, k) in got for i, (k, _) in enumerate(texts)]) >= 0.97
+
+
 def test_repeated_and_short_items():
     index = D.PassageIndex([(1, ITEMS[0][1]), (2, ITEMS[0][1]), (3, "Forty two"), (4, "two"), (5, "")])
     got = {(i, tuple(index.ids[k]), e) for i, k, e in index.matches([ITEMS[0][1], "It is forty  TWO .", "twofold", None, "two"])}
