@@ -36,10 +36,10 @@ MOST_EDITS = 0.15
 SHORTEST = 16
 #: Items in one place of a table from which on they are verified together.
 CROWDED = 16
-#: Characters after which items that are too far leave a group, words of bits a group holds, and its longest region in spans.
+#: Characters after which items that are too far leave a group, words of bits that a group holds, and the share of regions that become one.
 LEAVE = 8
 GROUP_WORDS = 1 << 20
-GROUP_SPANS = 4
+GROUP_SHARE = 0.6
 #: Length of the character grams that rule out most chance meetings before the exact distance is taken.
 GRAM = 5
 #: Share of items with the most edits that walks are added for, by trial on TRIALS edited items of a class.
@@ -270,17 +270,22 @@ class PassageIndex:
             while stop < len(normal) and size + len(normal[stop]) <= SLICE_BYTES:
                 size += len(normal[stop])
                 stop += 1
+            alone: dict[int, list[tuple[int, int]]] = {}
             together: dict[int, list[tuple[int, int]]] = {}
             for text, item, at in self.candidates(normal[i:stop]):
-                if item < 0:
-                    together.setdefault(i + text, []).append((-1 - item, at))
-                elif found.get((i + text, item)) != 0:
-                    edits = self.verified(normal[i + text], item, at)
-                    if edits is not None:
-                        found[i + text, item] = min(edits, found.get((i + text, item), edits))
-            for text, met in together.items():
-                for item, edits in self.verified_together(normal[text], met):
+                (alone if item >= 0 else together).setdefault(i + text, []).append((item, at))
+            for text in sorted({*alone, *together}):
+                own = normal[text]
+                done = np.full((2, len(self.texts) if text in together else 0), -1, np.int64)
+                for item, edits in self.verified_together(own, together.get(text, []), done):
                     found[text, item] = min(edits, found.get((text, item), edits))
+                for item, at in alone.get(text, ()):
+                    start, end = self.region(own, item, at)
+                    held = text in together and done[0, self.rank[item]] <= start and end <= done[1, self.rank[item]]
+                    if not held and found.get((text, item)) != 0:
+                        edits = self.verified(own[start:end], item)
+                        if edits is not None:
+                            found[text, item] = min(edits, found.get((text, item), edits))
             i = stop
         return [(text, item, edits) for (text, item), edits in sorted(found.items())]
 
@@ -327,30 +332,38 @@ class PassageIndex:
             self.kept_grams[item] = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
         return self.kept_grams[item]
 
-    def verified(self, normal: bytes, item: int, at: int) -> int | None:
-        text = self.texts[item]
-        allowed, slack = int(self.allowed[item]), int(self.slack[item])
-        region = normal[max(0, at - slack) : max(0, at) + int(self.n_bytes[item]) + slack].decode("utf-8", "ignore")
+    def region(self, normal: bytes, item: int, at: int) -> tuple[int, int]:
+        """Where to look for an item that would begin there."""
+        slack = int(self.slack[item])
+        return max(0, at - slack), min(len(normal), max(0, at) + int(self.n_bytes[item]) + slack)
+
+    def verified(self, part: bytes, item: int) -> int | None:
+        text, allowed = self.texts[item], int(self.allowed[item])
+        region = part.decode("utf-8", "ignore")
         # An edit spoils at most GRAM of the item's grams.
         if len(self.grams(item).difference([region[i : i + GRAM] for i in range(len(region))])) > GRAM * allowed:
             return None
         edits = edit_distance_within(text, region)
         return edits if edits <= allowed else None
 
-    def verified_together(self, normal: bytes, met: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        """(item, edits) of the groups' items that are near enough to the text at the places where the groups met it."""
-        regions: list[list[int]] = []
-        for g, at in sorted(met):
-            start, stop = max(0, at - self.groups[g].before), min(len(normal), max(0, at) + self.groups[g].after)
-            most = GROUP_SPANS * (self.groups[g].before + self.groups[g].after)
-            if regions and regions[-1][0] == g and start <= regions[-1][2] and stop - regions[-1][1] <= most:
-                regions[-1][2] = max(stop, regions[-1][2])
-            elif stop > start:
-                regions.append([g, start, stop])
-        # Items of several groups are looked for once in a region that holds the others.
-        done = np.full((2, len(self.texts)), -1, np.int64)
-        for g, start, stop in sorted(regions, key=lambda r: (r[1] - r[2], r)):
-            ranks = self.groups[g].ranks
+    def verified_together(self, normal: bytes, met: list[tuple[int, int]], done: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, edits) of the groups' items that are near enough to the text at the places where the groups met it.
+
+        Regions that are mostly the same are made one. ``done`` is told where each item, by rank, was last looked for.
+        """
+        regions: list[tuple[int, int, list[int]]] = []
+        reach = [(max(0, at - own.before - own.step), min(len(normal), max(0, at) + own.after + own.step), -1 - g) for g, at in met for own in [self.groups[-1 - g]]]
+        for start, stop, g in sorted(x for x in reach if x[0] < x[1]):
+            if regions:
+                first, last, inside = regions[-1]
+                # Neither gets much longer by it.
+                if GROUP_SHARE * (max(stop, last) - first) <= min(stop - start, last - first):
+                    regions[-1] = first, max(stop, last), [*inside, g]
+                    continue
+            regions.append((start, stop, [g]))
+        # Items of several regions are looked for once in one that holds the others.
+        for start, stop, inside in sorted(regions, key=lambda r: (r[0] - r[1], r[0])):
+            ranks = np.unique(np.concatenate([self.groups[g].ranks for g in set(inside)]))
             ranks = ranks[(done[0, ranks] > start) | (done[1, ranks] < stop)]
             done[0, ranks], done[1, ranks] = start, stop
             region = normal[start:stop].decode("utf-8", "ignore")
@@ -422,16 +435,24 @@ def advanced(up: np.ndarray, down: np.ndarray, match: np.ndarray) -> tuple[np.nd
         over = own < word
         own += carry
         carry = (over | (own < carry)).astype(np.uint64)
-    level = (level ^ up) | match
-    either = match | down
-    rise, fall = down | ~(level | up), up & level
-    top = np.uint64(63)
+    level ^= up
+    level |= match
+    either = np.bitwise_or(match, down, out=match)
+    fall = up & level
+    rise = np.bitwise_or(level, up, out=level)
+    np.invert(rise, out=rise)
+    rise |= down
+    top, one = np.uint64(63), np.uint64(1)
     rise_in, fall_in = rise[:-1] >> top, fall[:-1] >> top
-    rise, fall = rise << np.uint64(1), fall << np.uint64(1)
-    rise[0] |= np.uint64(1)  # leaving out an item's character costs one
+    rise <<= one
+    fall <<= one
+    rise[0] |= one  # leaving out an item's character costs one
     rise[1:] |= rise_in
     fall[1:] |= fall_in
-    return fall | ~(either | rise), rise & either
+    new = either | rise
+    np.invert(new, out=new)
+    new |= fall
+    return new, np.bitwise_and(rise, either, out=rise)
 
 
 @cache
