@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.sources.shared import materialise, scratch_path
+from colloquy.sources.shared import materialise, qualified, scratch_path
 
-__all__ = ["hashed_span", "held_out", "materialise", "read_table", "scratch_path"]
+__all__ = ["hashed_span", "held_out", "materialise", "qualified", "read_table", "scratch_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,6 +20,8 @@ No item is left out of any place.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,9 +29,13 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import materialise, qualified, scratch_path
+
 #: Edits that a passage may have, as a share of the item's characters.
 MOST_EDITS = 0.15
 #: Items with fewer normalised characters are found only word by word as they are, or not at all.
@@ -54,8 +60,10 @@ ROOM = 2
 GRAM_BYTES = 4
 SPREAD = 8
 SEED = 5
-#: Bytes of items in one broadcast index, which takes about 60 times as many; a larger benchmark is met in several passes.
+#: Bytes of items in one index, which takes about 60 times as many; a larger benchmark is met in several passes.
 INDEX_BYTES = 2_000_000
+#: Bytes of documents that a task holds while it goes through several indexes.
+PASS_BYTES = 32_000_000
 #: Windows that walk together, and bytes of documents that are laid out together.
 BLOCK = 1 << 14
 SLICE_BYTES = 1_000_000
@@ -513,14 +521,61 @@ def edited_at_random(text: str, edits: int, rng: np.random.Generator) -> str:
     return "".join(found)
 
 
-def passage_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> Iterator[PassageIndex]:
-    """Indexes over all items, each of a bounded part of the benchmark."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+@dataclass
+class Passages:
+    """The indexes of a benchmark: none, one that is broadcast, or files of the shared folder that tasks load one by one."""
+
+    shared: Broadcast | None
+    files: list[str]
+
+    def each(self) -> Iterator[PassageIndex]:
+        if self.shared is not None:
+            yield self.shared.value
+        for uri in self.files:
+            system, path = pafs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path) as found:
+                yield pickle.loads(found.read())
+
+    def held(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Batches that go through the indexes together: of bounded size, and one by one if there is one index."""
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += batch.nbytes
+            if size >= PASS_BYTES or not self.files:
+                yield kept
+                kept, size = [], 0
+        if kept:
+            yield kept
+
+
+def passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> Passages:
+    """Indexes over all items, each of a bounded part of the benchmark; if there are several, tasks make and write them."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // INDEX_BYTES)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts)))
-    for k in range(parts):
-        yield PassageIndex(sorted(((r.item_id, r.text) for r in items.where(part == k).collect()), key=lambda x: (x[0] is None, x)), **options)
+
+    def made(rows: list[tuple[int | None, str]]) -> PassageIndex:
+        return PassageIndex(sorted(rows, key=lambda x: (x[0] is None, *x)), **options)
+
+    if parts <= 1:
+        return Passages(spark.sparkContext.broadcast(made([tuple(r) for r in items.collect()])) if parts else None, [])
+    folder = qualified(spark, scratch_path(spark))
+
+    def write(rows: pa.Table) -> pa.Table:
+        index = made(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)))
+        system, base = pafs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        # A task that runs again writes a file of its own; the one that Spark takes the name from is read.
+        name = uuid.uuid4().hex
+        with system.open_output_stream(f"{base}/{name}") as out:
+            out.write(pickle.dumps(index))
+        return pa.table({"uri": [f"{folder}/{name}"]})
+
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    written = materialise(items.withColumn("part", part).repartition(parts, "part").groupBy("part").applyInArrow(write, "uri string"))
+    return Passages(None, sorted(r.uri for r in written.collect()))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = True, **options) -> DataFrame:
@@ -529,27 +584,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Texts are compared in lower case with single spaces; up to MOST_EDITS edits a character of
     the item count as found. Items of fewer than SHORTEST characters are found where they stand as
     whole words, unless ``short`` is false. Null and empty texts hold nothing; null and empty items
-    are never found, repeated ones count once. The benchmark is broadcast in parts of bounded size,
-    the documents are only read: repeated rows each give their rows, and null ids need no care.
+    are never found, repeated ones count once. A benchmark of one index is broadcast; a larger one is
+    met in passes inside each task, which holds one index at a time. The documents are only read:
+    repeated rows each give their rows, and null ids need no care.
     """
-    spark = docs.sparkSession
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    indexes = passages(benchmark, **options)
     schema = "doc_id long, item_id long, edits int, item_chars int"
-    found = None
-    for index in passage_indexes(benchmark, **options):
-        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                matches = [(text, i, edits, item) for text, item, edits in own.matches(batch.column(1).to_pylist(), short) for i in own.ids[item]]
-                ids = batch.column(0).take(pa.array([m[0] for m in matches], pa.int64()))
-                columns = [pa.array([m[1] for m in matches], pa.int64()), pa.array([m[2] for m in matches], pa.int32()), pa.array([len(own.texts[m[3]]) for m in matches], pa.int32())]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "item_id", "edits", "item_chars"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in indexes.held(batches):
+            for own in indexes.each():
+                for batch in held:
+                    matches = [(text, i, edits, item) for text, item, edits in own.matches(batch.column(1).to_pylist(), short) for i in own.ids[item]]
+                    ids = batch.column(0).take(pa.array([m[0] for m in matches], pa.int64()))
+                    columns = [pa.array([m[1] for m in matches], pa.int64()), pa.array([m[2] for m in matches], pa.int32()), pa.array([len(own.texts[m[3]]) for m in matches], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "item_id", "edits", "item_chars"])
 
-        part = read.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", short: bool = False, **options) -> DataFrame:
@@ -557,15 +608,17 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", sh
 
     Items of a word or two are no evidence of a leak: they are looked for only if ``short`` is true.
     """
-    place = docs.columns.index(text_col)
-    for index in passage_indexes(benchmark, **options):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in shared.value.matches(batch.column(place).to_pylist(), short)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    indexes, place = passages(benchmark, **options), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in indexes.held(batches):
+            keep = [np.ones(batch.num_rows, bool) for batch in held]
+            for own in indexes.each():
+                for kept, batch in zip(keep, held, strict=True):
+                    left = np.flatnonzero(kept)
+                    found = own.matches(batch.column(place).take(pa.array(left)).to_pylist(), short)
+                    kept[left[np.array([m[0] for m in found], np.int64)]] = False
+            for kept, batch in zip(keep, held, strict=True):
+                yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

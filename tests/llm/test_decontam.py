@@ -104,8 +104,11 @@ def test_table_with_nulls_ties_and_repeated_rows(spark, monkeypatch):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6]
 
     check()
-    monkeypatch.setattr(D, "INDEX_BYTES", 4000)  # several passes give the same
+    monkeypatch.setattr(D, "INDEX_BYTES", 1000)  # several passes in one operator give the same
     check()
+    assert len(D.passages(bench).files) > 3
+    plan = D.drop_leaks(docs, bench)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
 
 
 def test_empty_tables(spark):
