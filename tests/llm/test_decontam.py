@@ -173,6 +173,14 @@ def test_edits_gathered_in_one_part_of_items_from_a_template():
             assert np.mean([(i, k) in got for i, (k, _) in enumerate(texts)]) >= 0.97
 
 
+def test_one_very_long_text():
+    index, source = D.PassageIndex(ITEMS), random.Random(14)
+    filler = prose(5000, source)
+    text = " ".join([ITEMS[0][1], filler * 100, ITEMS[1][1], filler * 100, ITEMS[2][1]])
+    assert len(text) > 2 * D.SLICE_BYTES
+    assert {m for m in index.matches(["", text, ITEMS[3][1]])} == {(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 3, 0)}
+
+
 def test_repeated_and_short_items():
     index = D.PassageIndex([(1, ITEMS[0][1]), (2, ITEMS[0][1]), (3, "Forty two"), (4, "two"), (5, "")])
     got = {(i, tuple(index.ids[k]), e) for i, k, e in index.matches([ITEMS[0][1], "It is forty  TWO .", "twofold", None, "two"])}

@@ -109,6 +109,14 @@ def test_long_texts_come_in_alike_by_spans_from_anywhere(spark):
     assert len(half) in (59, 60) and 15 < sum(t != "short" for t in half) < 45  # the null text may take a place; the short ones don't come first
 
 
+def test_one_very_long_text_is_scored_whole():
+    m = X.train([(1, "vile trash talk"), (0, "kind warm talk")] * 30, l1=0.5)
+    filler = "neutral words here " * 150_000
+    for end in ("vile trash talk", "kind warm talk"):
+        short = m.score(["neutral words here neutral words here " + end])
+        assert np.allclose(m.score(["", filler + end, ""])[1], short) and len(filler) > 2 * X.SLICE_BYTES
+
+
 def test_no_labels(spark):
     m = X.fit_toxicity(none(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert m.score(["anything"])[0] == 0.5
