@@ -174,7 +174,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. A null id is never the least one unless all of its component are null. Repeated rows
     each keep their row; other columns are ignored; an empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle))
+    return grouped(materialise(fingerprints(docs, id_col, text_col, shingle)))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """As ``near_duplicates``, of written rows (doc_id, fp)."""
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(materialise(fingerprint_links(classes)))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,10 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, met through banded minima.
+"""Near-duplicates by SimHash, checked by exact Jaccard similarity, and by banded minima where that is not enough.
 
-Texts with the same set of shingles are one class. Each class has BANDS keys, each of BAND_ROWS
+Texts with the same set of shingles are one class. Classes are grouped by ``simhash``'s operator:
+fingerprints of three-word shingles with repeats, linked at MOST_BITS differing bits through Golay
+indices. Each class of a group meets the group's least one, and links where their sets of five-word
+shingles have the similarity. A similarity of 0.8 leaves some ten bits that differ, so that does not
+find all. For the rest, each class has BANDS keys, each of BAND_ROWS
 minima of its shingles' hashes; two sets of similarity s share a key unless all bands differ,
 which at s = 0.8 happens to 5 pairs in a million: (1 - 0.8 ** 6) ** 40. Nothing else is left
-out: whatever shares a key is verified on the whole sets. First each member of a key meets the
-key's least one. Where that leaves a key in several components, each member meets one that shares
+out: whatever shares a key is verified on the whole sets, unless SimHash's links hold all members of the
+key together. First each member of a key meets the key's least one. Where that leaves a key in several components, each member meets one that shares
 keys with many others, which is near to what the group has in common. What is still apart after
 that meets each other, as far as sketches allow: bits of a member's shingles that another lacks
 are shingles that it lacks, which bounds the similarity from above. So the components are those
@@ -22,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import materialise
-from colloquy.llm.simhash import components
+from colloquy.llm.common import materialise, small
+from colloquy.llm.simhash import components, fingerprint, grouped
 
 SEED = 42
 SHINGLE = 5
@@ -32,8 +36,6 @@ BANDS = 40
 BAND_ROWS = 6
 #: Shingles whose minima are taken at a time.
 TAKEN = 1024
-#: Rows whose keys or sets a worker holds at a time.
-BATCH_ROWS = 512
 #: Columns of a set's sketch of 64 bits each: bit h is set if one of its hashes begins so.
 SKETCH = [f"sketch_{k}" for k in range(16)]
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -68,26 +70,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(i, BATCH_ROWS)
-
-
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """Rows (row, id, digest, size, keys) of rows (row, id, text)."""
-    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("digest long, size long, keys array<long>").fields])
+    """Rows (row, id, digest, size, fp, keys) of rows (row, id, text); fp is the SimHash fingerprint."""
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("digest long, size long, fp long, keys array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            digests, sizes, keys = [], [], []
-            for text in batch.column(2):
-                hashes = shingles(text.as_py(), shingle)
+            digests, sizes, prints, keys = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingles(text, shingle)
+                prints.append(fingerprint(text))
                 digests.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "digest", "size", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "digest", "size", "fp", "keys"])
 
     return rows.mapInArrow(run, schema)
 
@@ -123,11 +120,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(both >= similarity * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v")
 
 
-def apart(met: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (key, node, size, root, sketch) of the keys whose members the links leave in several components."""
-    rooted = materialise(met.select("key", "node", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root) once the links (u, v) are added; what is joined already goes in as stars, which take few rounds."""
+    return components(links.select("u", "v").unionByName(roots.select(F.col("root").alias("u"), F.col("node").alias("v"))))
+
+
+def split_keys(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, node, size, root) of the keys whose members are in several components."""
+    rooted = materialise(met.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return materialise(rooted.join(split, "key", "left_semi").join(sets.select("node", *SKETCH), "node"))
+    return rooted.join(split, "key", "left_semi")
+
+
+def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, node, size, root, sketch) of the keys whose members are in several components."""
+    return materialise(split_keys(met, roots).join(sets.select("node", *SKETCH), "node"))
 
 
 def crossing(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
@@ -148,7 +155,7 @@ def crossing(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: the row of least id stays (nulls last).
 
-    Near duplicates are linked by a Jaccard similarity of at least ``similarity`` (0.8 or more, for
+    Near duplicates are met by SimHash, then by bands, and are linked by a Jaccard similarity of at least ``similarity`` (0.8 or more, for
     which the bands are made) of their sets of ``shingle`` words, and by chains of such links. Rows
     are told apart by their place in the input, not by their id. ``docs`` has to be a table that
     reads the same each time, such as a written one. Texts without words, null ones too, are copies
@@ -162,27 +169,36 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(signatures(rows, shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
     classes = materialise(signed.groupBy("digest", "size").agg(F.min("row").alias("node"), first))
-    keyed = signed.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("last")).where("head.node < last")
-    heads = materialise(heads.select("key", F.col("head.node").alias("head"), F.col("head.size").alias("head_size")))
-    met = materialise(keyed.join(heads, "key"))
-    nodes = met.select("node").distinct()
+    own = signed.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    groups = grouped(materialise(own.select(F.col("row").alias("doc_id"), "fp")))
+    near = materialise(groups.where("component_id < doc_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")))
+    keyed = own.select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
+    many = materialise(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
+    met = materialise(keyed.join(many, "key"))
+    nodes = met.select("node").union(near.select("u")).union(near.select("v")).distinct()
     sets = materialise(shingle_sets(rows.join(nodes, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text"), shingle))
 
-    tried = materialise(met.where((F.col("node") != F.col("head")) & fits("size", "head_size", similarity)).select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
-    links = materialise(verified(tried, sets, similarity))
-    members = apart(met, links, sets)
+    # Each class meets the least of its group only, so these links are stars.
+    roots = materialise(verified(near, sets, similarity).select(F.col("v").alias("node"), F.col("u").alias("root")))
+    met = materialise(split_keys(met, roots))
+    heads = met.groupBy("key").agg(F.min(F.struct("node", "size", "root")).alias("head"))
+    heads = materialise(heads.select("key", *(F.col(f"head.{c}").alias(f"head_{c}") for c in ("node", "size", "root"))))
+    with_head = met.join(heads, "key").where((F.col("root") != F.col("head_root")) & fits("size", "head_size", similarity))
+    fresh = with_head.select(F.col("head_node").alias("u"), F.col("node").alias("v")).distinct()
+    fresh = materialise(fresh.join(near, ["u", "v"], "left_anti"))
+    roots, tried = joined(roots, materialise(verified(fresh, sets, similarity))), near.unionByName(fresh)
+    members = apart(met, roots, sets)
     often = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("n"))
     # Members met about equally often take turns, so that a member's keys show it different ones.
     turn = F.struct(-F.floor(4 * F.log2("n")), F.xxhash64("key", "node"))
     middle = members.join(often, "node").groupBy("key").agg(F.min_by("node", turn).alias("node")).join(members, ["key", "node"])
     stars = crossing(middle, members, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     stars = materialise(stars.distinct().join(tried, ["u", "v"], "left_anti"))
-    links, tried = materialise(links.unionByName(verified(stars, sets, similarity))), tried.unionByName(stars)
-    members = apart(met, links, sets)
+    roots, tried = joined(roots, materialise(verified(stars, sets, similarity))), tried.unionByName(stars)
+    members = apart(met, roots, sets)
     rest = crossing(members, members, similarity).where("u < v")
     rest = materialise(rest.distinct().join(tried, ["u", "v"], "left_anti"))
-    links = materialise(links.unionByName(verified(rest, sets, similarity)))
+    roots = joined(roots, materialise(verified(rest, sets, similarity)))
 
-    placed = classes.join(components(links), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    placed = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return numbered.join(placed.select(F.col("first.row").alias(place)), place, "left_semi").select(*docs.columns)

@@ -38,6 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, Jaccard 0.8 or more of five-word shingles, stays.
 
+    They are met by SimHash, as in ``op9``, and checked; what three bits do not reach meets in bands.
     It is the one of least id, null ids last. Of repeated rows, and of texts without words, one stays.
     """
     return keep_dissimilar(docs)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from colloquy.llm import similar as J
@@ -84,6 +85,27 @@ def test_pipeline_finds_copies_of_more_than_three_bits(spark, tmp_path):
     assert [r.doc_id for r in P.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()] == [1]
 
 
+def test_simhash_links_what_no_band_has_in_common(spark, tmp_path, monkeypatch):
+    words, source = [f"w{i}" for i in range(400)], random.Random(5)
+    rows = [(1, " ".join(words))]
+    while len(rows) < 4:
+        copy = list(words)
+        copy[source.randrange(400)] = f"x{source.random()}"
+        if (slow_fingerprint(rows[0][1]) ^ slow_fingerprint(" ".join(copy))).bit_count() <= 3:
+            rows.append((1 + len(rows), " ".join(copy)))
+    far = " ".join(f"y{i}" for i in range(400))
+    rows += [(8, far), (9, far + " z")]
+    # The same words with repeats, but other sets of five: SimHash links them, the exact check does not.
+    loop = ["a", "b", "c"] * 3000
+    rows += [(20, " ".join(loop)), (21, " ".join([*loop, *(f"n{i}" for i in range(30))]))]
+    assert (slow_fingerprint(rows[-2][1]) ^ slow_fingerprint(rows[-1][1])).bit_count() <= 3
+    assert jaccard(*(slow_shingles(t) for _, t in rows[-2:])) < 0.8
+    signatures = J.signatures
+    monkeypatch.setattr(J, "signatures", lambda *a: signatures(*a).withColumn("keys", F.array(F.col("row"))))
+    with_clashes(spark, rows).write.parquet(str(tmp_path / "d"))
+    assert sorted(r.doc_id for r in P.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [1, 8, 20, 21]
+
+
 def test_every_pair_at_the_threshold_meets():
     rng = np.random.default_rng(1)
     for tenth in (1, 10, 100):
