@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialise, qualified, scratch_path
+from colloquy.llm.common import materialise, qualified, scratch_path, small
 
 #: Edits that a passage may have, as a share of the item's characters.
 MOST_EDITS = 0.15
@@ -611,7 +611,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", sh
     indexes, place = passages(benchmark, **options), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in indexes.held(batches):
+        for held in indexes.held(small(batches)):
             keep = [np.ones(batch.num_rows, bool) for batch in held]
             for own in indexes.each():
                 for kept, batch in zip(keep, held, strict=True):

@@ -24,6 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import small
+
 SPACE = "▁"
 #: Units that a worker keeps in each of two generations: the older one goes when the newer is full.
 KEPT_UNITS = 150_000
@@ -301,7 +303,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(public_tokenizers.path(model))
-        for batch in batches:
+        for batch in small(batches):
             counts, id_digests, text_digests, all_ids, texts = [], [], [], [], []
             for joined in chain.from_iterable(map(own.encode_texts, text_slices([t or "" for t in batch.column(1).to_pylist()]))):
                 ids = joined.split(b",")[:-1]

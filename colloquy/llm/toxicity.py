@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import hashed_span, materialise
+from colloquy.llm.common import hashed_span, materialise, small
 
 SLOTS = 1 << 20
 #: Most training documents with label 1 and with label 0, and most characters of one: what the driver may hold.
@@ -189,7 +189,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(shared.value.score([t or "" for t in batch.column(place).to_pylist()]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,12 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from colloquy.llm import pieces
 from colloquy.llm.pieces import PieceCodec, encode_pieces, id_array
 from colloquy.llm.simple8b import ChunkTokenizer, pack, read_tokens, token_dataset, unpack
 from colloquy.llm.token_counts import TokenCounter, count_tokens
@@ -150,3 +152,13 @@ def test_empty_token_dataset(spark):
 
 def test_ids_of_more_than_five_digits():
     assert id_array([b"7", b"123456", b"99999"]).tolist() == [7, 123456, 99999] and id_array([]).tolist() == []
+
+
+def test_a_worker_holds_a_bounded_part_of_a_batch(spark, monkeypatch):
+    """Ids and digests of a batch come in parts, so that memory does not follow the rows of Spark's batches."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([f"one two {k % 7}" for k in range(2000)])], names=["doc_id", "text"])
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    found = list(pieces.encode_pieces(docs)(iter([batch])))
+    assert max(b.num_rows for b in found) <= 512
+    assert [i for b in found for i in b.column(0).to_pylist()] == list(range(2000))
