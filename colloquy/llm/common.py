@@ -34,7 +34,12 @@ def hashed_span(text: str, most_chars: int, key: str) -> Column:
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most BATCH_ROWS, which share the memory of the given ones."""
+    """The same rows in batches of at most BATCH_ROWS, which share the memory of the given ones.
+
+    What Arrow keeps of earlier batches is given back, as a worker stays for later stages.
+    """
     for batch in batches:
         for i in range(0, batch.num_rows, BATCH_ROWS):
             yield batch.slice(i, BATCH_ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import hashed_span
+from colloquy.llm.common import hashed_span, small
 
 FEATURES = 1 << 17
 #: Most training documents of one language, most characters of one, and most documents in all: what the driver may hold.
@@ -487,11 +487,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                langs, scores = own.predict([t or "" for t in batch.column(place).to_pylist()])
-                yield batch.filter(pa.array([lang != UNKNOWN and scores[k] >= least for k, lang in enumerate(langs)], pa.bool_()))
+        for batch in small(batches):
+            langs, scores = own.predict([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([lang != UNKNOWN and scores[k] >= least for k, lang in enumerate(langs)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
