@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import materialise
@@ -149,18 +149,21 @@ def components(links: DataFrame) -> DataFrame:
     """Rows (node, root) for the nodes of links (u, v): root is the least node of the component.
 
     Large and small stars in turn; every round halves what is left of long chains at least.
-    Rounds are written to the shared folder, and only two numbers a round come to the driver.
+    Rounds are written to the shared folder, and only two numbers a round come to the driver, which
+    the writing job counts. No side of a join is broadcast: however small, it would be built there.
     """
     edges, before = links, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(least, "u").where("v != m").select(F.col("v"), F.col("m"))
+        rest = large.join(least.hint("merge"), "u").where("v != m").select(F.col("v"), F.col("m"))
         small = rest.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen, digest = Observation(), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        found = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialise(found.observe(seen, F.count("*").alias("n"), digest.alias("digest")))
+        now = seen.get["n"], seen.get["digest"]
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
@@ -182,10 +185,10 @@ def grouped(prints: DataFrame) -> DataFrame:
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(materialise(fingerprint_links(classes)))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = classes.join(linked, classes["fp"] == linked["node"]).select("fp", "least", "root")
+    members = classes.join(linked.hint("merge"), classes["fp"] == linked["node"]).select("fp", "least", "root")
     lowest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = members.join(lowest, "root").select("fp", "component_id")
-    found = classes.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    placed = members.join(lowest.hint("merge"), "root").select("fp", "component_id")
+    found = classes.join(placed.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     found = materialise(found)  # two plain exchanges meet below, so Spark can split a fingerprint that many rows have
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -121,7 +121,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (node, root) once the links (u, v) are added; what is joined already goes in as stars, which take few rounds."""
+    """Rows (node, root) once the links (u, v) are added; what is joined already goes in as stars, which take few rounds.
+
+    Without links these are ``roots`` themselves: no round is planned on the driver.
+    """
+    if links.isEmpty():
+        return roots
     return components(links.select("u", "v").unionByName(roots.select(F.col("root").alias("u"), F.col("node").alias("v"))))
 
 
@@ -194,8 +199,9 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     middle = members.join(often, "node").groupBy("key").agg(F.min_by("node", turn).alias("node")).join(members, ["key", "node"])
     stars = crossing(middle, members, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     stars = materialise(stars.distinct().join(tried, ["u", "v"], "left_anti"))
-    roots, tried = joined(roots, materialise(verified(stars, sets, similarity))), tried.unionByName(stars)
-    members = apart(met, roots, sets)
+    before, tried = roots, tried.unionByName(stars)
+    roots = joined(roots, materialise(verified(stars, sets, similarity)))
+    members = members if roots is before else apart(met, roots, sets)
     rest = crossing(members, members, similarity).where("u < v")
     rest = materialise(rest.distinct().join(tried, ["u", "v"], "left_anti"))
     roots = joined(roots, materialise(verified(rest, sets, similarity)))

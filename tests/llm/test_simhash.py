@@ -104,3 +104,16 @@ def test_one_of_each_stays(spark, tmp_path):
     found = kept.collect()
     assert len(found) == len(distinct)
     assert {r.doc_id for r in found if r.doc_id is not None} == {c for _, _, c in groups if c is not None}
+
+
+def test_rounds_broadcast_nothing_and_count_while_writing(spark, monkeypatch):
+    plans, write = [], S.materialise
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")))
+        return write(df)
+
+    links = write(spark.createDataFrame([(k + 1, k) for k in range(9)] + [(21, 20)], "u long, v long"))
+    monkeypatch.setattr(S, "materialise", written)
+    assert {(r.node, r.root) for r in S.components(links).collect()} == {(k, 0) for k in range(1, 10)} | {(21, 20)}
+    assert plans and all("CollectMetrics" in p and "Broadcast" not in p for p in plans)

@@ -118,3 +118,9 @@ def test_every_pair_at_the_threshold_meets():
 def test_empty_table(spark, tmp_path):
     none(spark).write.parquet(str(tmp_path / "d"))
     assert J.keep_dissimilar(spark.read.parquet(str(tmp_path / "d"))).count() == 0
+
+
+def test_no_links_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(J, "components", lambda links: 1 / 0)
+    roots, none = spark.createDataFrame([(2, 1)], "node long, root long"), spark.createDataFrame([], "u long, v long")
+    assert J.joined(roots, none) is roots
