@@ -141,7 +141,8 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
     """Distinct pairs (u, v), u < v, of fingerprints that differ in at most MOST_BITS bits."""
     left, right = keyed(classes, 0).alias("l"), keyed(classes, 1).alias("r")
     near = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MOST_BITS
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & near)
+    # Spark sizes a side by its fingerprints, of which each makes many rows, and would broadcast those.
+    met = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & near)
     return met.select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v")).distinct()
 
 
@@ -190,7 +191,7 @@ def grouped(prints: DataFrame) -> DataFrame:
     placed = members.join(lowest.hint("merge"), "root").select("fp", "component_id")
     found = classes.join(placed.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     found = materialise(found)  # two plain exchanges meet below, so Spark can split a fingerprint that many rows have
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(found.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -206,5 +207,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = near_duplicates(numbered.select(row, F.col(text_col).alias("text")), row, "text", shingle)
     ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id")))
-    kept = groups.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select(F.col("first.doc_id").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    kept = groups.join(ids.hint("merge"), "doc_id").groupBy("component_id").agg(first.alias("first")).select(F.col("first.doc_id").alias(row))
+    return numbered.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)

@@ -117,3 +117,19 @@ def test_rounds_broadcast_nothing_and_count_while_writing(spark, monkeypatch):
     monkeypatch.setattr(S, "materialise", written)
     assert {(r.node, r.root) for r in S.components(links).collect()} == {(k, 0) for k in range(1, 10)} | {(21, 20)}
     assert plans and all("CollectMetrics" in p and "Broadcast" not in p for p in plans)
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    plans, write = [], S.materialise
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(S, "materialise", written)
+    rows = texts()
+    got = S.near_duplicates(with_clashes(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == slow_components(rows)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in p and "SortMergeJoin" in p for p in plans) == 1  # the keys' join
+    assert not any("Broadcast" in p for p in plans)
