@@ -13,6 +13,9 @@ keys with many others, which is near to what the group has in common. What is st
 that meets each other, as far as sketches allow: bits of a member's shingles that another lacks
 are shingles that it lacks, which bounds the similarity from above. So the components are those
 of all pairs, while large groups of copies and of edited copies cost a few meetings a member.
+
+All joins are merge joins: Spark sizes a column of arrays as if each held one value, exploded rows by
+their arrays, and files as they are packed, so that it would broadcast tables that the driver can't build.
 """
 
 from __future__ import annotations
@@ -117,7 +120,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets' Jaccard similarity is high enough."""
     left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias("of_" + k)) for k in "uv")
     both = F.size(F.array_intersect("of_u", "of_v"))
-    return pairs.join(left, "u").join(right, "v").where(both >= similarity * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v")
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(both >= similarity * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v")
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -132,14 +135,14 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def split_keys(met: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (key, node, size, root) of the keys whose members are in several components."""
-    rooted = materialise(met.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = materialise(met.select("key", "node", "size").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return rooted.join(split, "key", "left_semi")
+    return rooted.join(split.hint("merge"), "key", "left_semi")
 
 
 def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (key, node, size, root, sketch) of the keys whose members are in several components."""
-    return materialise(split_keys(met, roots).join(sets.select("node", *SKETCH), "node"))
+    return materialise(split_keys(met, roots).join(sets.select("node", *SKETCH).hint("merge"), "node"))
 
 
 def crossing(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
@@ -153,7 +156,7 @@ def crossing(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
 
     enough = similarity * (F.col("size_u") + F.col("size_v")) - 1e-9
     near = [(1 + similarity) * shared(a, b) >= enough for a, b in ("uv", "vu")]
-    met = u.join(v, (u["key"] == v["key"]) & (F.col("root_u") != F.col("root_v")) & fits("size_u", "size_v", similarity) & near[0] & near[1])
+    met = u.join(v.hint("merge"), (u["key"] == v["key"]) & (F.col("root_u") != F.col("root_v")) & fits("size_u", "size_v", similarity) & near[0] & near[1])
     return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
 
 
@@ -174,37 +177,37 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(signatures(rows, shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
     classes = materialise(signed.groupBy("digest", "size").agg(F.min("row").alias("node"), first))
-    own = signed.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    own = signed.join(classes.select("node").hint("merge"), F.col("row") == F.col("node"), "left_semi")
     groups = grouped(materialise(own.select(F.col("row").alias("doc_id"), "fp")))
     near = materialise(groups.where("component_id < doc_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")))
     keyed = own.select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
     many = materialise(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    met = materialise(keyed.join(many, "key"))
+    met = materialise(keyed.join(many.hint("merge"), "key"))
     nodes = met.select("node").union(near.select("u")).union(near.select("v")).distinct()
-    sets = materialise(shingle_sets(rows.join(nodes, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text"), shingle))
+    sets = materialise(shingle_sets(rows.join(nodes.hint("merge"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text"), shingle))
 
     # Each class meets the least of its group only, so these links are stars.
     roots = materialise(verified(near, sets, similarity).select(F.col("v").alias("node"), F.col("u").alias("root")))
     met = materialise(split_keys(met, roots))
     heads = met.groupBy("key").agg(F.min(F.struct("node", "size", "root")).alias("head"))
     heads = materialise(heads.select("key", *(F.col(f"head.{c}").alias(f"head_{c}") for c in ("node", "size", "root"))))
-    with_head = met.join(heads, "key").where((F.col("root") != F.col("head_root")) & fits("size", "head_size", similarity))
+    with_head = met.join(heads.hint("merge"), "key").where((F.col("root") != F.col("head_root")) & fits("size", "head_size", similarity))
     fresh = with_head.select(F.col("head_node").alias("u"), F.col("node").alias("v")).distinct()
-    fresh = materialise(fresh.join(near, ["u", "v"], "left_anti"))
+    fresh = materialise(fresh.join(near.hint("merge"), ["u", "v"], "left_anti"))
     roots, tried = joined(roots, materialise(verified(fresh, sets, similarity))), near.unionByName(fresh)
     members = apart(met, roots, sets)
-    often = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("n"))
+    often = members.join(members.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key").groupBy("node").agg(F.sum("n").alias("n"))
     # Members met about equally often take turns, so that a member's keys show it different ones.
     turn = F.struct(-F.floor(4 * F.log2("n")), F.xxhash64("key", "node"))
-    middle = members.join(often, "node").groupBy("key").agg(F.min_by("node", turn).alias("node")).join(members, ["key", "node"])
+    middle = members.join(often.hint("merge"), "node").groupBy("key").agg(F.min_by("node", turn).alias("node")).join(members.hint("merge"), ["key", "node"])
     stars = crossing(middle, members, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    stars = materialise(stars.distinct().join(tried, ["u", "v"], "left_anti"))
+    stars = materialise(stars.distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"))
     before, tried = roots, tried.unionByName(stars)
     roots = joined(roots, materialise(verified(stars, sets, similarity)))
     members = members if roots is before else apart(met, roots, sets)
     rest = crossing(members, members, similarity).where("u < v")
-    rest = materialise(rest.distinct().join(tried, ["u", "v"], "left_anti"))
+    rest = materialise(rest.distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"))
     roots = joined(roots, materialise(verified(rest, sets, similarity)))
 
-    placed = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return numbered.join(placed.select(F.col("first.row").alias(place)), place, "left_semi").select(*docs.columns)
+    placed = classes.join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return numbered.join(placed.select(F.col("first.row").alias(place)).hint("merge"), place, "left_semi").select(*docs.columns)

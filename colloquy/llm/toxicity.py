@@ -138,7 +138,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("k").isNotNull())
-    ids = materialise(own.select("k").distinct().join(known, "k").withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES))))
+    # A merge join: ids take little room in files, by which Spark would size what it broadcasts.
+    ids = materialise(own.select("k").distinct().join(known.hint("merge"), "k").withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES))))
     # The labels' counts say how small a hash has to be to come into question, so that few rows are ranked.
     wanted = F.lit(False)
     most = {1: most_toxic, 0: most_clean}

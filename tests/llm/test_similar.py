@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from colloquy.llm import similar as J
+from colloquy.llm import simhash as S
 from tests.llm.helpers import none, with_clashes
 from tests.llm.test_simhash import slow_fingerprint
 
@@ -124,3 +125,19 @@ def test_no_links_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(J, "components", lambda links: 1 / 0)
     roots, none = spark.createDataFrame([(2, 1)], "node long, root long"), spark.createDataFrame([], "u long, v long")
     assert J.joined(roots, none) is roots
+
+
+def test_no_join_is_broadcast(spark, tmp_path, monkeypatch):
+    plans, write = [], J.materialise
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    for module in (J, S):
+        monkeypatch.setattr(module, "materialise", written)
+    with_clashes(spark, texts()).write.parquet(str(tmp_path / "d"))
+    kept = J.keep_dissimilar(spark.read.parquet(str(tmp_path / "d")))
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not any("Broadcast" in p for p in plans)
