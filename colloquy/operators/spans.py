@@ -10,16 +10,19 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A text, a mark, or a number or word.
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+')
 #: What other readers of JSON refuse or alter: words for what is no number, numbers beyond all doubles, halves of pairs.
 ODD = re.compile(r"NaN|Infinity|[eE]\+?\d{3}|\d{309}|\\u[dD][89a-fA-F]")
+#: Characters of entries that are gathered before they are handed on; what an entry counts besides.
+GATHERED, ENTRY_SIZE = 1 << 20, 64
 
 
 def spans(text: str, keys: Collection[str]) -> dict[str, list[tuple[int, int]]]:
@@ -107,18 +110,52 @@ def read_answer(text: str | None, keys: Collection[str]) -> tuple[str | None, li
     return None, out
 
 
-def scanned(text: Column, keys: Collection[str]) -> Column:
-    """Struct (error, entries) of each answer's text."""
-    keys = list(keys)
-
-    @F.pandas_udf("error string, entries array<struct<list: string, pos: int, written: string, plain: string>>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_answer(t, keys) for t in texts], columns=["error", "entries"])
-
-    return scan(text)
-
-
-def written_entries(read: DataFrame, keys: Collection[str], column: str = "answer") -> DataFrame:
+def pieces(batches: Iterator[pa.RecordBatch], lists: Collection[str], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """``scanned`` of batches whose last column is the text; whatever the answers, few entries are held at a time."""
+    names = ["list", "pos", "written", "plain"]
+    told = pa.schema([("list", pa.string()), ("pos", pa.int32()), ("written", pa.string()), ("plain", pa.string())])
+    for batch in batches:
+        *own, texts = batch.columns
+        columns = batch.schema.names[:-1]
+
+        def handed_on(at: list[int], entries: list[tuple], own=own, columns=columns) -> pa.RecordBatch:
+            keys = [c.take(pa.array(at, pa.int32())) for c in own[:n_keys]]
+            rest = [pa.nulls(len(at), c.type) for c in own[n_keys:]]
+            said = [pa.array(c, kind) for c, kind in zip(zip(*entries, strict=True), told.types, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, *rest, pa.nulls(len(at), pa.string()), *said], names=[*columns, "error", *names])
+
+        errors, at, found, held = [], [], [], 0
+        for i in range(batch.num_rows):
+            error, entries = read_answer(texts[i].as_py(), lists)
+            errors.append(error)
+            for entry in entries:
+                at.append(i)
+                found.append(entry)
+                held += ENTRY_SIZE + len(entry[2]) + len(entry[3] or "")
+                if held >= GATHERED:
+                    yield handed_on(at, found)
+                    at, found, held = [], [], 0
+        if at:
+            yield handed_on(at, found)
+        yield pa.RecordBatch.from_arrays([*own, pa.array(errors, pa.string()), *(pa.nulls(batch.num_rows, kind) for kind in told.types)], names=[*columns, "error", *names])
+        del batch, own, texts, handed_on
+        pa.default_memory_pool().release_unused()
+
+
+def scanned(answers: DataFrame, text: Column, lists: Collection[str], keys: Collection[str], also: Collection[str] = ()) -> DataFrame:
+    """Rows (keys, also, error, list, pos, written, plain): one for each answer, without a list, and one for each of its entries.
+
+    Entries have only ``keys`` of the columns. They are handed on as they are found, so no row and no
+    batch holds those of many answers; an answer, and what is read from it, has to fit into memory.
+    """
+    lists, keys, also = list(lists), list(keys), list(also)
+    given = answers.select(*keys, *also, text.alias("_text"))
+    fields = [T.StructField(f.name, f.dataType) for f in given.schema.fields[:-1]]
+    schema = T.StructType([*fields, *T._parse_datatype_string("error string, list string, pos int, written string, plain string").fields])
+    return given.mapInArrow(lambda batches: pieces(batches, lists, len(keys)), schema)
+
+
+def written_entries(read: DataFrame, keys: Collection[str]) -> DataFrame:
     """Rows (keys, list, pos, entry, written) from ``scanned``: the entry as VARIANT, and as it was written."""
-    each = read.select(*keys, F.explode(f"{column}.entries").alias("e"))
-    return each.select(*keys, "e.list", "e.pos", F.try_parse_json(F.coalesce("e.plain", "e.written")).alias("entry"), "e.written")
+    plain = F.try_parse_json(F.coalesce("plain", "written"))
+    return read.where(F.col("list").isNotNull()).select(*keys, "list", "pos", plain.alias("entry"), "written")

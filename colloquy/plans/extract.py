@@ -363,10 +363,10 @@ def extract(messages: DataFrame, profile: Profile, provider: Provider, cache_pat
     chunks = prompts(messages, profile, size=size)
     told = answered(chunks, profile, provider, cache_path, concurrency, sleep, wave, progress, in_flight, rate)
     # Read once: entries and errors both come from it.
-    read = materialise(told.withColumn("answer", scanned(responses.unfenced(F.col("raw")), profile.keys)))
+    read = materialise(scanned(told, responses.unfenced(F.col("raw")), profile.keys, keys, ("raw", "status", "reason")))
     found = written_entries(read, [*keys])
     unanswered = F.col("status") != "answered"
-    failed = read.withColumn("error", F.when(unanswered, F.col("status")).otherwise(F.col("answer.error"))).withColumn("raw", F.when(unanswered, F.col("reason")).otherwise(F.col("raw")))
+    failed = read.where(F.col("list").isNull()).withColumn("error", F.when(unanswered, F.col("status")).otherwise(F.col("error"))).withColumn("raw", F.when(unanswered, F.col("reason")).otherwise(F.col("raw")))
     return Extraction(found, responses.errors(failed, keys), messages.count(), profile, source, now())
 
 

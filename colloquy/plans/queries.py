@@ -232,7 +232,7 @@ def written_as_said(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit(before), "props", F.lit(after)).alias("e"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "e"))), lambda x: x["e"]), " ,\n")
     answers = events.groupBy("user_id").agg(F.concat(F.lit('```json\n{"other": [1, {"items": [2]}], "items": ['), listed, F.lit("]}\n```")).alias("raw"))
-    read = answers.select(F.col("user_id").cast("long").alias("user_id"), scanned(R.unfenced(F.col("raw")), ITEMS.keys).alias("answer"))
+    read = scanned(answers.withColumn("user_id", F.col("user_id").cast("long")), R.unfenced(F.col("raw")), ITEMS.keys, ["user_id"])
     return written_entries(read, ["user_id"]).select("user_id", F.col("pos").cast("long").alias("pos"), F.try_variant_get("entry", "$.z.k", "long").alias("k"), "written")
 
 

@@ -1,9 +1,13 @@
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
-from colloquy.operators.spans import indented, read_answer, spans
+from colloquy.operators.spans import indented, pieces, read_answer, scanned, spans, written_entries
 from colloquy.plans.extract import ReplayProvider, ask, extract, write_insights
 from colloquy.plans.profiles import ITEMS
 from tests.test_extract import messages, nap
@@ -71,3 +75,33 @@ def test_a_document_holds_what_was_said(spark, tmp_path):
 
 def test_halves_of_pairs_are_escaped_when_they_come():
     assert ask(lambda *_: "é \udfff \U0001f600", ITEMS, "p")[0] == "é \\udfff \U0001f600"
+
+
+def test_entries_of_many_answers_are_not_held_together():
+    entry = '{"z": 1e400, "t": "%s"}' % ("x" * 100)
+    answer = '{"items": [' + ", ".join([entry] * 60) + "]}"
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "raw": ["r"] * 1000, "_text": [answer] * 998 + ["[]", None]})
+    tracemalloc.start()
+    try:
+        rows, heads, most = 0, None, 0
+        for found in pieces(iter([batch]), ["items", "more"], 1):
+            entries = found.filter(pc.is_valid(found.column("list")))
+            assert entries.num_rows in (0, found.num_rows) and entries.nbytes < 8 << 20
+            assert entries.column("raw").null_count == entries.num_rows
+            rows, most, heads = rows + entries.num_rows, max(most, tracemalloc.get_traced_memory()[1]), found
+        assert rows == 998 * 60 and most < 16 << 20  # 60 MB and more for all of them at once
+    finally:
+        tracemalloc.stop()
+    assert heads.column("k").to_pylist() == list(range(1000)) and heads.column("raw").to_pylist() == ["r"] * 1000
+    assert heads.column("error").to_pylist() == [None] * 998 + ["not_object", "not_json"]
+
+
+def test_entries_are_read_once_by_a_stream(spark):
+    said = [[SAID[0], SAID[1]], [], [SAID[4]] * 3]
+    answers = spark.createDataFrame([(k, '{"items": [' + ",".join(x) + "]}", "n") for k, x in enumerate(said)] + [(7, "no", "n")], "k int, raw string, n string")
+    read = scanned(answers, F.col("raw"), ["items"], ["k"], ["n"])
+    found = written_entries(read, ["k"])
+    assert sorted((r.k, r.pos, r.written) for r in found.collect()) == [(k, pos, w) for k, x in enumerate(said) for pos, w in enumerate(x)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r.k, r.error, r.n) for r in read.where("list IS NULL").collect()) == [(0, None, "n"), (1, None, "n"), (2, None, "n"), (7, "not_json", "n")]
